@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkweave.llm.setjoin import set_join
 from chunkweave.llm.substrings import without_repeats
 
 
@@ -15,7 +16,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), n=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 SQL: dict[str, str] = {}
