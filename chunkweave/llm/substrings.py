@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[tup
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         texts = batch.column("text").cast(pa.binary())
         more = [batch.column(c) for c in extra]
-        sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         part = (np.cumsum(sizes) - sizes) // (6 * BLOCK_WORDS)
         for cut in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(part)) + 1):
             if len(cut):
@@ -195,7 +196,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.filter(table["known"])
         if known.num_rows:
             yield from known.select(["id", "starts"]).combine_chunks().to_batches()
-        table = table.filter(pa.compute.invert(table["known"])).combine_chunks()
+        table = table.filter(pc.invert(table["known"])).combine_chunks()
         if table.num_rows < 2:
             continue
         starts, names = table["starts"].to_pylist(), table["names"].to_pylist()
@@ -252,18 +253,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if width < 20:
         raise ValueError("a window has 20 words or more")
-    packed = with_rest(docs.withColumn("__doc_id", F.col(f"`{doc_id}`")), "__doc_id", text).select(F.col("__doc_id").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), "__doc_id", REST)
+    packed = with_rest(docs, doc_id, text).select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col("text") if text == "text" else F.col(f"`{text}`").alias("text"), REST)
     placed = packed.where("id is not null")
     runs = placed.select("id", "text").mapInArrow(_runs(width), RUNS)
     twice = runs.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("known or __k > 1")
     by_doc = twice.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    suspects = placed.join(by_doc, "id").select("id", "text", "runs")
+    suspects = placed.join(by_doc, "id")  # with the columns of the last join, whose shuffle of the texts is the same one
     windows = suspects.mapInArrow(_suspects(width), WINDOWS)
     repeats = windows.repartition("block").sortWithinPartitions("block").mapInArrow(_repeats, REPEATS)
     gone = repeats.groupBy("id").agg(F.collect_list("starts").alias("repeats"))
     joined = placed.join(gone, "id", "left").unionByName(packed.where("id is null").withColumn("repeats", F.lit(None).cast("array<binary>")))
     schema = joined.drop("repeats").schema.add("__n", "long").add("__removed", "long").add("__kept", "string")
     out = joined.mapInArrow(_kept(width), schema)
-    own = {doc_id: F.col("__doc_id"), text: F.col("text")}
+    own = {doc_id: F.col("id"), text: F.col("text")}
     columns = [(own[c] if c in own else F.col(f"{REST}.`{c}`")).alias(c) for c in docs.columns if c not in ADDED]
     return out.select(*columns, F.col("__n").alias("n_words"), F.col("__removed").alias("n_removed"), F.col("__kept").alias("kept_text"))
