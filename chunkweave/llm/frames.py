@@ -96,20 +96,31 @@ def _last_change(batch: pa.RecordBatch, keys: tuple[str, ...]) -> int | None:
     return low or None
 
 
-def running(df: DataFrame, group: str, order: list[str], total: Column, name: str, spread: int, count: bool = False) -> DataFrame:
-    """Adds the sum of `total` over the rows before this one in its group, in the order given.
+#: An even number of 60 bits from the text of a key, the same in any engine that has md5; below it as a part of 1.
+BITS = 60
 
-    A group may be any share of the table: `order[0]` must be a number spread evenly from 0 to 1. It cuts a group
-    into `spread` slices, whose sums are added up as a small table; only rows of one slice meet in one task.
+
+def even_bits(key: Column, salt: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(salt))), 1, BITS // 4), 16, 10).cast("long")
+
+
+def running(df: DataFrame, group: str, order: list[str], total: Column, name: str, slices: int, of_group: DataFrame | None = None) -> DataFrame:
+    """Adds the sum of `total` over the rows before this one in its group, in the order given; at ties any order holds.
+
+    A group, which is not null, may be any share of the table: order[0] is a whole number spread evenly over BITS bits. It cuts a group
+    into `slices`, whose sums are added up as a small table; only rows of one slice meet in one task. of_group: a table
+    with one row for each `group`, whose other columns are added too.
     """
-    sliced = df.withColumn("__slice", F.least(F.floor(F.col(order[0]) * spread), F.lit(spread - 1)).cast("int")).withColumn("__total", total)
+    sliced = df.withColumn("__slice", F.shiftright(F.shiftright(order[0], BITS - 40) * F.lit(slices), 40).cast("int")).withColumn("__total", total)
     sums = sliced.groupBy(group, "__slice").agg(F.sum("__total").alias("__sum"))
     before = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col(group).alias("__group"), F.col("__slice").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    if of_group is not None:
+        offsets = offsets.join(of_group.withColumnRenamed(group, "__same"), F.col("__group") == F.col("__same")).drop("__same")
     inside = Window.partitionBy(group, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         sliced.withColumn("__inside", F.coalesce(F.sum("__total").over(inside), F.lit(0)))
-        .join(offsets, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__slice") == F.col("__of")))
+        .join(offsets, (F.col(group) == F.col("__group")) & (F.col("__slice") == F.col("__of")))
         .withColumn(name, F.col("__offset") + F.col("__inside"))
         .drop("__slice", "__total", "__inside", "__group", "__of", "__offset")
     )
