@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.llm.chat import format_chats, read_loss, read_turns
+from chunkweave.llm.html import extract
 from chunkweave.llm.mixing import mix
 from chunkweave.llm.oracle import SQL as SQL
 from chunkweave.llm.packing import pack
+from chunkweave.llm.quality import fit, held_out, score
 from chunkweave.llm.setjoin import set_join
 from chunkweave.llm.sharding import shard
 from chunkweave.llm.substrings import without_repeats
@@ -44,6 +46,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5)
+    return score(docs, model, threshold=0.3).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
+
+
 def op6_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs, weights=(5, 2, 1), share=1.0, epochs=3).select("doc_id", "size", "source_size", "target", "taken")
@@ -58,11 +66,18 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs, 8, order=["size", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_compression_classifier": op5_compression_classifier,
     "op6_weighted_fair_queueing": op6_weighted_fair_queueing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_jump_sharding": op8_jump_sharding,
+    "op10_html_extraction": op10_html_extraction,
 }
