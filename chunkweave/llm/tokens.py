@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Words that a task remembers before it starts anew.
-MOST_WORDS = 400_000
+#: Words that a task remembers before it starts anew; words that are encoded in one call.
+MOST_WORDS, JOINED = 400_000, 1_000
+#: Words that the tokenizer's pattern cuts into one or two pieces: letters, and punctuation but for apostrophes.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)?([.,;:!?|%$&*#()\-]+)?")
 
 
 class _Places(dict):
@@ -34,18 +38,46 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends_piece = None
+        if suffix:
+            self.ends_piece = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.ends_piece[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.places, self.ids, self.ends = _Places(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.places, self.ids = _Places(), np.empty(0, np.uint32)
+        self.starts = self.lengths = np.empty(0, np.int64)
 
     def _learn(self) -> None:
-        new, self.places.new = self.places.new, []
-        if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            ids = np.fromiter((i for x in found for i in x), np.uint32)
-            self.ids = np.concatenate([self.ids, ids])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        new, self.places.new = [w.decode("utf-8", "replace") for w in self.places.new], []
+        if not new:
+            return
+        pieces = np.zeros(len(new), np.int64)
+        if self.ends_piece is not None:
+            pieces[:] = [2 - m.groups().count(None) if (m := PLAIN.fullmatch(w)) else 0 for w in new]
+        starts, lengths, flat, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.ids], len(self.ids)
+        plain = np.flatnonzero(pieces)
+        for i in range(0, len(plain), JOINED):
+            part = plain[i : i + JOINED]
+            ids = np.array(self._ids([" ".join([new[k] for k in part])])[0], np.uint32)
+            ends, last = np.flatnonzero(self.ends_piece[ids]) + 1, np.cumsum(pieces[part])
+            if last[-1] != len(ends):  # not as the pattern was taken to be: one by one
+                pieces[part] = 0
+                continue
+            bounds = np.append(0, ends[last - 1])
+            starts[part], lengths[part] = at + bounds[:-1], np.diff(bounds)
+            flat.append(ids)
+            at += len(ids)
+        rest = np.flatnonzero(pieces == 0)
+        for k, ids in zip(rest, self._ids([new[k] for k in rest])):
+            starts[k], lengths[k] = at, len(ids)
+            flat.append(np.array(ids, np.uint32))
+            at += len(ids)
+        self.ids, self.starts, self.lengths = np.concatenate(flat), np.append(self.starts, starts), np.append(self.lengths, lengths)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.places) > MOST_WORDS:
@@ -54,7 +86,7 @@ class WordTokens:
         self._learn()
         out = []
         for x in at:
-            starts, n = self.ends[x], self.ends[x + 1] - self.ends[x]
+            starts, n = self.starts[x], self.lengths[x]
             total = int(n.sum())
             out.append(self.ids[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(total)])
         return out
