@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkweave.llm.chat import format_chats, read_loss, read_turns
+from chunkweave.llm.graph import search_all
 from chunkweave.llm.html import extract
 from chunkweave.llm.mixing import mix
 from chunkweave.llm.oracle import SQL as SQL
 from chunkweave.llm.packing import pack
+from chunkweave.llm.pivots import near_vectors
 from chunkweave.llm.quality import fit, held_out, score
 from chunkweave.llm.setjoin import set_join
 from chunkweave.llm.sharding import shard
@@ -46,6 +48,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"), least=0.93)
+
+
 def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5)
@@ -66,6 +72,11 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs, 8, order=["size", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return search_all(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -75,9 +86,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_pivot_permutations": op4_pivot_permutations,
     "op5_compression_classifier": op5_compression_classifier,
     "op6_weighted_fair_queueing": op6_weighted_fair_queueing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_jump_sharding": op8_jump_sharding,
+    "op9_pruned_graph": op9_pruned_graph,
     "op10_html_extraction": op10_html_extraction,
 }
