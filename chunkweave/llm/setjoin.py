@@ -2,8 +2,9 @@
 
 Dealing out. Two sets of a and b >= a members link only if they differ in at most floor(a / 9) members at 0.9 (the
 general bound is below). Members are hashed into one part more than that, so linked sets agree on a whole part.
-Each set sends one key a part (a hash of the members in it) and only sets that share a key can link. A key covers
-eight to ten members, so a common word, line or passage is no key and makes no long list. Sets that share keys are
+Each set sends one key a part (a hash of the members in it) and only sets that share a key can link. At 0.9 a key covers
+eight members or so, so a common word, line or passage is no key and makes no long list. At lower similarities it
+covers fewer; then members that many sets have are counted first and left out of the keys. Sets that share keys are
 put into families by connected components, and only families get their texts.
 
 Joining. In a family, inverted lists over the members, rarest first, are grouped into blocks by the member's
@@ -16,6 +17,7 @@ scan of the lists if there is none. Both give exact overlaps.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -60,11 +62,14 @@ class Measure:
         while self.largest(end) == end:
             end += 1
         while True:
-            worst = self.differ(end - 1, self.largest(end - 1))
-            ends.append((end, worst + (2 if worst else 1)))
+            worst = parts = self.differ(end - 1, self.largest(end - 1))
+            for _ in range(8 if worst else 0):  # more parts than differ and are likely to be empty
+                empty = parts * math.exp(-0.8 * (ends[-1][0] if ends else 1) / parts)
+                parts = worst + 2 + math.ceil(empty + 4 * math.sqrt(empty))
+            ends.append((end, max(parts, 1)))
             if end > most:
                 return ends
-            end = max(end + 1, end * 27 // 20)
+            end = max(end + 1, end * 27 // 20, self.largest(end - 1) + 1)
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -77,17 +82,26 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
     return np.unique(span_names(names_of(words), n))
 
 
-def part_keys(members: np.ndarray, measure: Measure, classes: list[tuple[int, int]]) -> np.ndarray:
-    """The keys of a set: one for each part, in its own class and in the class below if it can link into that."""
+def part_keys(members: np.ndarray, measure: Measure, classes: list[tuple[int, int]], common: np.ndarray | None = None) -> np.ndarray:
+    """The keys of a set: one for each part, in its own class and in the class below if it can link into that.
+
+    Common members, given sorted, are left out of the parts at first: linked sets differ in no more of the others. If as
+    many parts are empty as a linked set may share, the set sends keys of another deal of all its members as well; a linked
+    set that shares empty parts only has as many, so it does the same. At last empty parts are keys themselves.
+    """
     size, found = len(members), []
     if not size:
         return np.empty(0, np.uint64)
-    own, marks = next(i for i, (end, _) in enumerate(classes) if size < end), mixed(members)
+    own, every = next(i for i, (end, _) in enumerate(classes) if size < end), members
+    if common is not None and len(common):
+        members = members[common[np.minimum(np.searchsorted(common, members), len(common) - 1)] != members]
+    deals = [members, *[every] * RESCUES]
     for c in {own, own - 1}:
         if c >= 0 and (c == own or size <= measure.largest(classes[c][0] - 1)):
             end, parts = classes[c]
             worst = measure.differ(end - 1, measure.largest(end - 1))
-            for again in range(RESCUES + 1):
+            for again, members in enumerate(deals):
+                marks = mixed(members)
                 part = (mixed(members ^ np.uint64(1000 + again)) % np.uint64(parts)).astype(np.int64)
                 has = np.flatnonzero(np.bincount(part, minlength=parts))
                 low, high = (np.bincount(part, weights=x.astype(np.float64), minlength=parts)[has].astype(np.uint64) for x in (marks & LOW, marks >> HALF))
@@ -104,7 +118,41 @@ def part_keys(members: np.ndarray, measure: Measure, classes: list[tuple[int, in
 SETS = "id long, n long, first_id long, keys array<long>, bytes long"
 
 
-def _sets(n: int, measure: Measure) -> Callable:
+def _counted(n: int) -> Callable:
+    """Members that several sets of a batch have, and how many; equal sets of a task count once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            sets = []
+            for text in batch.column("text").cast(pa.binary()):
+                members = shingles(words_of((text.as_py() or b"").lower()), n)
+                mark = _mark(members)
+                if mark not in seen:
+                    seen.add(mark)
+                    sets.append(members)
+            member, count = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            often = count >= max(2, len(sets) // 2000)
+            yield pa.RecordBatch.from_arrays([pa.array(member[often].view(np.int64)), pa.array(count[often])], names=["member", "n"])
+
+    return task
+
+
+def _mark(members: np.ndarray) -> bytes:
+    return members.sum().tobytes() + np.bitwise_xor.reduce(mixed(members)).tobytes() if len(members) else b""
+
+
+def common_members(texts: DataFrame, n: int, share: float = 0.0005, most: int = 65_536) -> np.ndarray:
+    """Sorted members that more than a share of the sets have, the `most` most frequent of them.
+
+    Which members these are changes the order of the work, never the result.
+    """
+    counted = texts.select("text").mapInArrow(_counted(n), "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= max(8, int(share * texts.count()))).orderBy(F.desc("n"), "member").limit(most).select("member").toArrow()
+    return np.sort(rows["member"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _sets(n: int, measure: Measure, common: np.ndarray | None = None) -> Callable:
     """Per document its set's size and keys. Of equal sets in one task, the later ones name the first instead."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +166,11 @@ def _sets(n: int, measure: Measure) -> Callable:
                     members = shingles(words_of(raw), n)
                     sizes.append(len(members))
                     lengths.append(len(raw))
-                    mark = members.sum().tobytes() + np.bitwise_xor.reduce(mixed(members)).tobytes() if len(members) else b""
+                    mark = _mark(members)
                     first.append(seen.setdefault(mark, i) if mark and i is not None else i)
                     if len(members) >= classes[-1][0]:
                         classes = measure.classes(2 * len(members))
-                    keys.append(part_keys(members, measure, classes).view(np.int64) if mark and i is not None and first[-1] == i else np.empty(0, np.int64))
+                    keys.append(part_keys(members, measure, classes, common).view(np.int64) if mark and i is not None and first[-1] == i else np.empty(0, np.int64))
                 offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), lists, pa.array(lengths, pa.int64())], names=["id", "n", "first_id", "keys", "bytes"])
@@ -261,7 +309,8 @@ def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     """
     measure = Measure(num, den)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = checkpointed(texts.mapInArrow(_sets(n, measure), SETS))
+    common = common_members(texts, n) if 10 * num < 9 * den else None  # parts are small then, and passages would match
+    sets = checkpointed(texts.mapInArrow(_sets(n, measure, common), SETS))
     by_key = Window.partitionBy("key")
     listed = sets.where("id = first_id").select("id", F.explode("keys").alias("key"))
     pairs = listed.withColumn("k", F.count(F.lit(1)).over(by_key)).withColumn("least", F.min("id").over(by_key)).where("k > 1")

@@ -78,8 +78,9 @@ def test_nulls_repeats_and_empty(spark):
     assert got(spark, []) == []
 
 
-@pytest.mark.parametrize("num", [80, 90, 97])
-def test_linked_sets_share_a_key(num):
+@pytest.mark.parametrize("part", [0, 0.1, 0.9, 1])
+@pytest.mark.parametrize("num", [60, 80, 90, 97])
+def test_linked_sets_share_a_key(num, part):
     r, measure = np.random.default_rng(num), Measure(num, 100)
     classes = measure.classes(5000)
     for _ in range(400):
@@ -89,4 +90,5 @@ def test_linked_sets_share_a_key(num):
         b = np.concatenate([a[gone:], r.integers(1, 2**63, max(0, most // 2 - gone // 2), dtype=np.uint64)])
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if len(b) and 100 * both >= num * either:
-            assert len(np.intersect1d(part_keys(np.sort(a), measure, classes), part_keys(np.sort(b), measure, classes)))
+            common = np.sort(a[: int(part * len(a))])
+            assert len(np.intersect1d(part_keys(np.sort(a), measure, classes, common), part_keys(np.sort(b), measure, classes, common)))
