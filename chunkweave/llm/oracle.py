@@ -49,5 +49,68 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, coalesce(sum(size) FILTER (served <= budget), 0)::BIGINT AS taken
 FROM r GROUP BY doc_id, even, size, source_size, target
+""",
+    "op3_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x) AS ws FROM documents
+), p AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place, CASE WHEN generate_subscripts(ws, 1) + 19 <= len(ws) THEN array_to_string(list_slice(ws, generate_subscripts(ws, 1), generate_subscripts(ws, 1) + 19), ' ') END AS win FROM w
+), r AS (
+  SELECT *, CASE WHEN win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, place) > 1 THEN place END AS again FROM p
+), c AS (
+  SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM r
+), g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+""",
+    "op4_pivot_permutations": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), u AS (
+  SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE label IS NOT NULL
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id != b.vec_id AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a
+), l AS (SELECT a, count(*) AS n FROM e GROUP BY a), m AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT v.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(m.least, v.vec_id)) AS component_id, v.vec_id <= coalesce(m.least, v.vec_id) AS kept
+FROM v LEFT JOIN l ON l.a = v.vec_id LEFT JOIN m ON m.a = v.vec_id
+""",
+    "op7_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), reach AS (
+  SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a
+), l AS (SELECT a, count(*) AS links FROM e GROUP BY a), m AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(l.links, 0)::BIGINT AS n_links, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN l ON l.a = w.doc_id LEFT JOIN m ON m.a = w.doc_id
+""",
+    "op8_jump_sharding": """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) AS r(i))
+), d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':shard'), 1, 15))::HUGEINT AS key,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':slot'), 1, 15))::BIGINT AS even
+  FROM documents
+), b AS (
+  SELECT doc_id, n, key, even, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UBIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::INTEGER + 1])))::BIGINT AS crc FROM d, crc
+), j AS (
+  SELECT doc_id, key AS k, -1::BIGINT AS place, 0::BIGINT AS after, 0 AS step FROM b
+  UNION ALL
+  SELECT doc_id, k2, after, floor((after + 1) * (2147483648.0::DOUBLE / ((k2 // 8589934592) + 1)::DOUBLE))::BIGINT, step + 1
+  FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM j) WHERE after < 9
+), s AS (SELECT doc_id, max(place) FILTER (place < 8)::INTEGER AS shard, max(place) FILTER (place < 9)::INTEGER AS grown_shard FROM j GROUP BY doc_id)
+SELECT b.doc_id, n + 1 AS size, crc AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY even, b.doc_id) - 1)::BIGINT AS slot, grown_shard
+FROM b JOIN s ON s.doc_id = b.doc_id
 """,
 }
