@@ -18,7 +18,7 @@ from chunkweave.functions.scalars import div_ceil, ordinal_id, ratio, sampled_ra
 from chunkweave.operators import chunking, dedup, segments, similarity, sketch, store
 from chunkweave.params import ChunkParams, FrequencyParams, PackParams, SegmentParams, SparseParams, SyncParams
 from chunkweave.plans import sync
-from chunkweave.sources.files import files_of, parse_trace, synthetic, trace_payload, transfer_totals
+from chunkweave.sources.files import files_of, parse_trace, spread, synthetic, trace_payload, transfer_totals
 from chunkweave.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return files_of(table(spark, sf_dir, "documents"), *keep)
+    return files_of(spread(table(spark, sf_dir, "documents")), *keep)
 
 
 def chunks(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -378,7 +378,7 @@ def two_level_chunks(spark, sf_dir):
 
 @query()
 def hmac_fingerprints(spark, sf_dir):
-    return files(spark, sf_dir).select("file_id", hmac_sha3(F.col("content")).alias("fp"), xxh64(F.col("content")).alias("xxh64"), murmur3(F.col("content")).alias("murmur3"))
+    return files(spark, sf_dir).select("file_id", hmac_sha3(F.col("content")).alias("fp"), xxh64(F.col("content")).alias("xxh64"), murmur3(F.encode("source", "UTF-8")).alias("murmur3"))
 
 
 @query(f"WITH {CHUNKS} SELECT DISTINCT fp, sha256('k' || ':' || fp) AS token, ({FIRST_BYTE} < 4) AS hook FROM c")

@@ -11,6 +11,12 @@ from chunkweave.functions.hashing import name_key
 FILES = ["file_id", "source", "content", "file_size"]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer splits than the cluster has cores, and so is small, is dealt out over them; any other stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Regular files as (file_id, source, modified, content, file_size); a file's id is a hash of its path.
 
