@@ -19,10 +19,11 @@ from chunkweave.llm.quality import fit, held_out, score
 from chunkweave.llm.setjoin import set_join
 from chunkweave.llm.sharding import shard
 from chunkweave.llm.substrings import without_repeats
+from chunkweave.sources.files import spread
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     packed = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
@@ -44,7 +45,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -53,7 +54,7 @@ def op4_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5)
     return score(docs, model, threshold=0.3).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
 
@@ -64,7 +65,7 @@ def op6_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), n=3, num=90, den=100)
+    return set_join(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), n=3, num=90, den=100)
 
 
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def op9_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
