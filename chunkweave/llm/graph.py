@@ -175,7 +175,7 @@ def build_index(table: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     """
     shards = max(1, -(-table.count() // shard_rows))
     rows = points(table, vec_id, vector, shards, False)
-    return rows.repartition("shard", "size").sortWithinPartitions("shard", "size").mapInArrow(_built(degree, beam), INDEX)
+    return rows.repartition("shard", "size").sortWithinPartitions("shard", "size", "id").mapInArrow(_built(degree, beam), INDEX)
 
 
 FOUND = "query_id long, vec_id long, score double"
