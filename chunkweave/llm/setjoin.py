@@ -34,6 +34,8 @@ from chunkweave.llm.words import HALF, mixed, names_of, pair_names, span_names,
 
 #: Bytes of text that a task hashes at a time, and that meet in one task as a block of a family.
 SLICE_BYTES, BLOCK_BYTES = 2_000_000, 16_000_000
+#: Bytes of text whose shingles are counted together.
+COUNT_BYTES = 8_000_000
 RESCUES = 3
 #: Sets of a family whose overlaps with all others are at hand at a time.
 KEPT = 64
@@ -119,11 +121,11 @@ SETS = "id long, n long, first_id long, keys array<long>, bytes long"
 
 
 def _counted(n: int) -> Callable:
-    """Members that several sets of a batch have, and how many; equal sets of a task count once."""
+    """Members that several sets of a slice have, and how many; equal sets of a task count once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in batches_by_weight(whole, "text", COUNT_BYTES)):
             sets = []
             for text in batch.column("text").cast(pa.binary()):
                 members = shingles(words_of((text.as_py() or b"").lower()), n)
