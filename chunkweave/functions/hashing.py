@@ -61,6 +61,33 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h ^ h >> 16
 
 
+def murmur3_x64_128(data: bytes, seed: int = 0) -> tuple[int, int]:
+    """MurmurHash3 for x64, 128 bits, as two halves; the constants are the published ones."""
+    c1, c2, mask = 0x87C37B91114253D5, 0x4CF5AD432745937F, (1 << 64) - 1
+    rotated = lambda x, n: (x << n | x >> (64 - n)) & mask
+    mixed = lambda k, a, n, b: rotated(k * a & mask, n) * b & mask
+    h = [seed, seed]
+    for at in range(0, len(data) - 15, 16):
+        low, high = (int.from_bytes(data[at + o : at + o + 8], "little") for o in (0, 8))
+        h[0] = ((rotated(h[0] ^ mixed(low, c1, 31, c2), 27) + h[1]) * 5 + 0x52DCE729) & mask
+        h[1] = ((rotated(h[1] ^ mixed(high, c2, 33, c1), 31) + h[0]) * 5 + 0x38495AB5) & mask
+    tail = data[len(data) // 16 * 16 :]
+    h[1] ^= mixed(int.from_bytes(tail[8:], "little"), c2, 33, c1)
+    h[0] ^= mixed(int.from_bytes(tail[:8], "little"), c1, 31, c2)
+    a, b = h[0] ^ len(data), h[1] ^ len(data)
+    a = (a + b) & mask
+    b = (a + b) & mask
+
+    def final(k: int) -> int:
+        for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            k = (k ^ k >> 33) * by & mask
+        return k ^ k >> 33
+
+    a, b = final(a), final(b)
+    a = (a + b) & mask
+    return a, (a + b) & mask
+
+
 def murmur3(data: Column, seed: int = 0) -> Column:
     @F.pandas_udf("long")
     def of(values: pd.Series) -> pd.Series:

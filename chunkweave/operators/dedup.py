@@ -6,7 +6,7 @@ allows it, and adaptive execution splits the keys that stay hot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chunkweave.functions.scalars import ratio
@@ -25,6 +25,29 @@ def addresses(chunks: DataFrame, index: DataFrame) -> DataFrame:
     return probe(chunks, index).withColumn("exist_flag", (F.col("dedup_flag") == DUPLICATE).cast("int")).drop("dedup_flag")
 
 
+def tiered_probe(chunks: DataFrame, cached: DataFrame, index: DataFrame) -> DataFrame:
+    """The chunks with dedup_flag and tier: CACHE if a cached container has the fingerprint, INDEX if only the index has, else NONE.
+
+    cached: metadata rows (fp) of the containers at hand. The flag is that of probe(); only the tier tells them apart.
+    """
+    near = cached.select("fp").distinct().withColumn("__near", F.lit(True))
+    far = index.select("fp").distinct().withColumn("__far", F.lit(True))
+    out = chunks.join(near, "fp", "left").join(far, "fp", "left")
+    tier = F.when(F.col("__near"), "CACHE").when(F.col("__far"), "INDEX").otherwise("NONE")
+    return out.withColumn("tier", tier).withColumn("dedup_flag", F.when(F.col("tier") == "NONE", UNIQUE).otherwise(DUPLICATE)).drop("__near", "__far")
+
+
+def unexpected(recovered: DataFrame, requested: DataFrame) -> DataFrame:
+    """Fingerprints that were recovered but not asked for; a check that holds has no rows."""
+    return recovered.select("fp").distinct().join(requested.select("fp"), "fp", "left_anti")
+
+
+def observed(chunks: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The same rows; while another query runs over them, their number and bytes are counted."""
+    seen = Observation(name)
+    return chunks.observe(seen, F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")), seen
+
+
 def missing(source: DataFrame, target: DataFrame, distinct: bool = False) -> DataFrame:
     """The source's rows whose fingerprint the target lacks; repeats stay unless distinct."""
     rows = source.join(target.select("fp").distinct(), "fp", "left_anti")

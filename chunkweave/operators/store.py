@@ -47,6 +47,16 @@ def recipes(chunks: DataFrame, index: DataFrame) -> DataFrame:
     return chunks.select("file_id", "pos", "fp").join(index.select("fp", "container_id", "offset", "length"), "fp")
 
 
+def wanted_recipes(wanted: DataFrame, recipe: DataFrame, must_exist: bool = True) -> DataFrame:
+    """The recipe rows of some file ids. A file without a recipe is an error, or left out."""
+    ids = wanted.select("file_id").distinct()
+    if not must_exist:
+        return recipe.join(ids, "file_id", "left_semi")
+    found = ids.join(recipe, "file_id", "left")
+    gone = F.raise_error(F.concat(F.lit("no recipe of file "), F.col("file_id").cast("string")))
+    return found.withColumn("pos", F.when(F.col("pos").isNull(), gone).otherwise(F.col("pos")))
+
+
 def restored(recipe: DataFrame, store: DataFrame) -> DataFrame:
     """(file_id, content, n_chunks) of the recipes, from the store (container_id, offset, data).
 

@@ -131,6 +131,20 @@ def address_lookup_flag(spark, sf_dir):
     return dedup.addresses(source.select("file_id", "pos", "fp"), target.groupBy("fp").agg(F.max("file_id").alias("held_by")))
 
 
+@query(f"""WITH {CLOUDS}, near AS (SELECT DISTINCT fp FROM dst WHERE file_id % 10 = 1), far AS (SELECT DISTINCT fp FROM dst),
+t AS (SELECT CASE WHEN near.fp IS NOT NULL THEN 'CACHE' WHEN far.fp IS NOT NULL THEN 'INDEX' ELSE 'NONE' END AS tier, size FROM src LEFT JOIN near ON near.fp = src.fp LEFT JOIN far ON far.fp = src.fp)
+SELECT tier, count(*) AS n, sum(size)::BIGINT AS bytes FROM t GROUP BY tier""")
+def locality_tiers(spark, sf_dir):
+    source, target = two_clouds(chunks(spark, sf_dir))
+    found = dedup.tiered_probe(source, target.where("file_id % 10 = 1"), target)
+    return found.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query(f"WITH {CLOUDS} SELECT DISTINCT fp FROM src WHERE fp NOT IN (SELECT fp FROM dst)")
+def recovered_not_requested(spark, sf_dir):
+    return dedup.unexpected(*two_clouds(chunks(spark, sf_dir)))
+
+
 @query(f"WITH {CLOUDS} SELECT file_id, pos, fp FROM src WHERE fp NOT IN (SELECT fp FROM dst)")
 def missing_at_dest_anti(spark, sf_dir):
     source, target = two_clouds(chunks(spark, sf_dir))

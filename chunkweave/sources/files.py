@@ -63,6 +63,16 @@ def trace_payload(fp: Column, size: Column) -> Column:
     return F.substring(whole, 1, size)
 
 
+def with_candidates(trace: DataFrame, candidates: DataFrame, ratio: str = "ratio") -> DataFrame:
+    """Trace rows with payload, the candidate (bucket, payload) of their compression ratio in tenths, from 10 to 30.
+
+    There are 21 buckets at most, so the candidates are broadcast.
+    """
+    bucket = F.least(F.greatest(F.round(F.col(ratio) * 10).cast("int"), F.lit(10)), F.lit(30))
+    few = candidates.where(F.col("bucket").between(10, 30)).dropDuplicates(["bucket"]).select("bucket", "payload")
+    return trace.withColumn("bucket", bucket).join(F.broadcast(few), "bucket", "left").drop("bucket")
+
+
 def synthetic(spark: SparkSession, n_bytes: int, ratio: float = 2.0, seed: int = 1, block: int = 16384) -> DataFrame:
     """(file_id, source, content, file_size) in blocks of bytes that compress by about the ratio; the same for a seed."""
 

@@ -20,6 +20,7 @@ def test_known_hashes(spark):
     assert row.a == "776bdf4f598121a2ac38c408d375731a5681f10998e77dcb92fb474adfef8f90" and row.b == 4952883123889572249
     assert (row.sha256, row.sha1, row.md5) == tuple(hashlib.new(k, b"abc").hexdigest() for k in ("sha256", "sha1", "md5"))
     assert [hashing.murmur3_32(x) for x in (b"", b"test", b"Hello, world!")] == [0, 0xBA6BD213, 0xC0363E43]
+    assert [hashing.murmur3_x64_128(x) for x in (b"", b"hello")] == [(0, 0), (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19)]
     assert spark.createDataFrame([(None,)], "d binary").select(hashing.hmac_sha3(F.col("d"))).first()[0] is None
 
 

@@ -186,3 +186,19 @@ def test_params_as_json():
         from_json(ChunkParams, '{"mix": 1}')
     with pytest.raises(ValueError):
         ChunkParams(min=9, avg=2, max=3)
+
+
+def test_checks_and_counters(spark):
+    df, rows = meta(spark)
+    a, b = df.where("file_id < 2"), df.where("file_id >= 2")
+    tiers = {r.tier: r.n for r in dedup.tiered_probe(a, b.where("pos < 9"), b).groupBy("tier").agg(F.count("*").alias("n")).collect()}
+    assert sum(tiers.values()) == a.count() and tiers["CACHE"] + tiers["INDEX"] == dedup.shared(a, b).count()
+    assert dedup.unexpected(a.where("pos > 3"), a).isEmpty() and not dedup.unexpected(a, a.limit(1)).isEmpty()
+    same, seen = dedup.observed(df, "chunks")
+    same.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"chunks": len(rows), "bytes": sum(r[3] for r in rows)}
+    recipe = spark.createDataFrame([(1, 0, "f")], "file_id long, pos int, fp string")
+    wanted = spark.createDataFrame([(1,), (2,)], "file_id long")
+    assert store.wanted_recipes(wanted, recipe, must_exist=False).count() == 1 and store.wanted_recipes(wanted.limit(1), recipe).count() == 1
+    with pytest.raises(Exception, match="no recipe of file 2"):
+        store.wanted_recipes(wanted, recipe).collect()

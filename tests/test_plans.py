@@ -110,6 +110,9 @@ def test_traces_and_logs(spark, tmp_path):
     log = spark.createDataFrame([("f", "u", 10, 2, 0.5, 1.5)], sources.CLIENT_LOG)
     sources.write_log(log, f"{tmp_path}/log")
     assert sources.read_log(spark, f"{tmp_path}/log", sources.CLIENT_LOG).collect() == log.collect()
+    trace = spark.createDataFrame([(0.2,), (1.5,), (9.0,)], "ratio double")
+    sets = spark.createDataFrame([(10, "a"), (15, "b"), (30, "c"), (31, "d")], "bucket int, payload string")
+    assert [r.payload for r in sources.with_candidates(trace, sets).orderBy("ratio").collect()] == ["a", "b", "c"]
     assert sources.synthetic(spark, 40_000, seed=3).agg(F.sum("file_size")).first()[0] == 40_000
 
 
