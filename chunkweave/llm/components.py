@@ -34,7 +34,8 @@ def _state(e: DataFrame) -> tuple:
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node tells its larger neighbours of its smallest neighbour."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # A table of its own, so that the join is of two plain shuffles and adaptive execution can split a hub's edges.
+    smallest = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     larger = e.select(F.col("v").alias("u"), F.col("u").alias("w"))
     return larger.join(smallest, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
