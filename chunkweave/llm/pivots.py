@@ -132,7 +132,7 @@ def _pairs(table: pa.Table, pivot: int, across: bool, least: float, shared: int)
     return ids[has_links], smallest[root][has_links], links[has_links]
 
 
-def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, pivots: int = 128, nearest: int = 8, shared: int = 3) -> DataFrame:
+def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, pivots: int = 128, nearest: int = 8, shared: int = 2) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept. Links: equal labels and a cosine of at least `least`.
 
     The pivots are a sample of at most `pivots` vectors, the first by a hash of vec_id; every vector is indexed. Pairs
