@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +17,6 @@ from chunkweave.functions.hashing import byte_sum, fingerprint
 from chunkweave.operators.ordered import in_order
 from chunkweave.params import ChunkParams, SegmentParams
 
-#: Bytes of content that are cut in lockstep.
-TOGETHER = 8_000_000
-
 
 def chunk(files: DataFrame, params: ChunkParams) -> DataFrame:
     """All other columns of the files, and pos, offset, size, data. An empty or null file has no chunks."""
@@ -50,58 +46,42 @@ def fixed_chunks(files: DataFrame, size: int, block: int = 128 * 1024 * 1024) ->
     return _cut(files, bounds).drop("__n")
 
 
-def cut_points(contents: list[bytes], params: ChunkParams) -> list[list[int]]:
-    """Where the gear hash cuts each of some byte strings: the ends of their chunks.
+def cut_points(content: bytes, params: ChunkParams) -> list[int]:
+    """Where the gear hash cuts: the ends of the chunks.
 
     From `min` bytes into a chunk on, the hash is halved and the byte's number added, in 32 bits. It cuts after a byte where
     the hash ends in zeros: more of them up to the normal size, fewer from there on; at `max` it cuts anyway. What is left
-    of at most `min` bytes is one chunk. All strings advance by a byte a step, so a step is a few operations on arrays.
+    of at most `min` bytes is one chunk. The halving makes each step wait for the one before, so this is a plain loop; a
+    chunk's first `min` bytes are never looked at.
     """
-    gear, bits = np.array(params.gear, np.uint32), round(math.log2(params.avg))
-    hard, easy = (np.uint32((1 << min(max(bits + d, 1), 31)) - 1) for d in (1, -1))
-    skip = min(params.min + -(-params.min // 2), params.avg)
-    normal = min(params.avg - skip, params.max)
-    lengths = np.array([len(c) for c in contents], np.int64)
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    first = np.cumsum(lengths) - lengths
-    out: list[list[int]] = [[] for _ in contents]
-    alive = np.flatnonzero(lengths > 0)
-    start = np.zeros(len(alive), np.int64)
-    at = np.minimum(lengths[alive], params.min)
-    hashed = np.zeros(len(alive), np.uint32)
-    while len(alive):
-        left = lengths[alive] - start
-        end = np.minimum(left, params.max)
-        going = at < end
-        byte = data[first[alive] + start + np.where(going, at, 0)]
-        hashed = np.where(going, (hashed >> np.uint32(1)) + gear[byte], hashed)
-        mask = np.where(at < np.minimum(normal, left), hard, easy)
-        found = going & ((hashed & mask) == 0)
-        at = at + going
-        done = found | (at >= end)
-        if done.any():
-            for k in np.flatnonzero(done).tolist():
-                out[alive[k]].append(int(start[k] + at[k]))
-            start = np.where(done, start + at, start)
-            hashed = np.where(done, np.uint32(0), hashed)
-            at = np.where(done, np.minimum(lengths[alive] - start, params.min), at)
-            more = start < lengths[alive]
-            if not more.all():
-                alive, start, at, hashed = alive[more], start[more], at[more], hashed[more]
-    return out
+    gear, bits = params.gear, round(math.log2(params.avg))
+    hard, easy = ((1 << min(max(bits + d, 1), 31)) - 1 for d in (1, -1))
+    normal = min(params.avg - min(params.min + -(-params.min // 2), params.avg), params.max)
+    ends, start, n = [], 0, len(content)
+    while start < n:
+        at, end, hashed = min(start + params.min, n), min(start + params.max, n), 0
+        for stop, mask in ((min(start + normal, end), hard), (end, easy)):
+            for byte in content[at:stop]:
+                hashed = (hashed >> 1) + gear[byte] & 0xFFFFFFFF
+                at += 1
+                if not hashed & mask:
+                    break
+            else:
+                continue
+            break
+        ends.append(at)
+        start = at
+    return ends
 
 
 def _bounds(params: ChunkParams) -> Callable:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int32())]))
         for batch in batches:
-            contents = [c or b"" for c in batch.column("content").to_pylist()]
-            sizes = np.cumsum([len(c) for c in contents])
-            cuts = np.flatnonzero(np.diff(sizes // TOGETHER)) + 1 if len(contents) else []
             found = []
-            for part in np.split(np.arange(len(contents)), cuts):
-                for ends in cut_points([contents[i] for i in part], params):
-                    found.append([{"offset": a, "size": b - a} for a, b in zip([0, *ends], ends)])
+            for content in batch.column("content"):
+                ends = cut_points(content.as_py() or b"", params)
+                found.append([{"offset": a, "size": b - a} for a, b in zip([0, *ends], ends)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "__bounds"])
 
     return task
