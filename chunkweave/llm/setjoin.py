@@ -33,7 +33,7 @@ from chunkweave.llm.frames import batches_by_weight, checkpointed, grouped_table
 from chunkweave.llm.words import HALF, mixed, names_of, pair_names, span_names, words_of
 
 #: Bytes of text that a task hashes at a time, and that meet in one task as a block of a family.
-SLICE_BYTES, BLOCK_BYTES = 2_000_000, 16_000_000
+SLICE_BYTES, BLOCK_BYTES = 2_000_000, 6_000_000
 #: Bytes of text whose shingles are counted together.
 COUNT_BYTES = 8_000_000
 RESCUES = 3
