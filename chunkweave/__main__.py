@@ -12,14 +12,16 @@ from chunkweave.params import SyncParams, from_json
 from chunkweave.plans import sync
 from chunkweave.sources.files import read_files, synthetic, write_files
 
+TABLES = ("recipes", "meta", "data", "files")
+
 
 def save(cloud: sync.Cloud, path: str) -> None:
-    for name in ("recipes", "meta", "data"):
+    for name in TABLES:
         getattr(cloud, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str) -> sync.Cloud:
-    return sync.Cloud(*(spark.read.parquet(f"{path}/{name}") for name in ("recipes", "meta", "data")))
+    return sync.Cloud(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
 
 
 def statistics(cloud: sync.Cloud) -> DataFrame:

@@ -47,9 +47,21 @@ def recipes(chunks: DataFrame, index: DataFrame) -> DataFrame:
     return chunks.select("file_id", "pos", "fp").join(index.select("fp", "container_id", "offset", "length"), "fp")
 
 
-def wanted_recipes(wanted: DataFrame, recipe: DataFrame, must_exist: bool = True) -> DataFrame:
-    """The recipe rows of some file ids. A file without a recipe is an error, or left out."""
+def file_heads(files: DataFrame, recipe: DataFrame) -> DataFrame:
+    """(file_id, file_size, n_chunks) of all files, those without bytes too, which have no recipe rows."""
+    sizes = files.select("file_id", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("file_size"), F.lit(0).alias("n_chunks"))
+    counts = recipe.select("file_id", F.lit(0).cast("long").alias("file_size"), F.lit(1).alias("n_chunks"))
+    return sizes.unionByName(counts).groupBy("file_id").agg(F.sum("file_size").alias("file_size"), F.sum("n_chunks").alias("n_chunks"))
+
+
+def wanted_recipes(wanted: DataFrame, recipe: DataFrame, must_exist: bool = True, files: DataFrame | None = None) -> DataFrame:
+    """The recipe rows of some file ids. A file without a recipe is an error, or left out.
+
+    A file that has no chunks by `files` (file_id, n_chunks) has no rows, and is no error.
+    """
     ids = wanted.select("file_id").distinct()
+    if files is not None:
+        ids = ids.join(files.where("n_chunks = 0"), "file_id", "left_anti")
     if not must_exist:
         return recipe.join(ids, "file_id", "left_semi")
     found = ids.join(recipe, "file_id", "left")
@@ -57,15 +69,21 @@ def wanted_recipes(wanted: DataFrame, recipe: DataFrame, must_exist: bool = True
     return found.withColumn("pos", F.when(F.col("pos").isNull(), gone).otherwise(F.col("pos")))
 
 
-def restored(recipe: DataFrame, store: DataFrame) -> DataFrame:
+def restored(recipe: DataFrame, store: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(file_id, content, n_chunks) of the recipes, from the store (container_id, offset, data).
 
-    A file meets in one task, as it must to be written. A recipe entry that has no chunk is an error.
+    A file meets in one task, as it must to be written. A recipe entry that has no chunk is an error. With `files`
+    (file_id, n_chunks) those without chunks are restored too, as empty ones, and a recipe of another length is an error.
     """
     joined = recipe.join(store.select("container_id", "offset", "data"), ["container_id", "offset"], "left")
     checked = F.when(F.col("data").isNull(), F.raise_error(F.concat(F.lit("no chunk for "), F.col("fp")))).otherwise(F.col("data"))
-    listed = joined.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", checked.alias("data")))).alias("parts"))
+    rows = joined.select("file_id", F.struct("pos", checked.alias("data")).alias("part"), F.lit(None).cast("long").alias("told"))
+    if files is not None:
+        rows = rows.unionByName(files.select("file_id", F.col("n_chunks").cast("long").alias("told")), allowMissingColumns=True)
+    listed = rows.groupBy("file_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("told").alias("told"))
     content = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["data"]))
+    differs = F.raise_error(F.concat(F.lit("recipe is not whole of file "), F.coalesce(F.col("file_id").cast("string"), F.lit("null"))))
+    content = F.when(F.col("told") != F.size("parts"), differs).otherwise(content)
     return listed.select("file_id", content.alias("content"), F.size("parts").alias("n_chunks"))
 
 

@@ -334,13 +334,14 @@ def container_pack_seq(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT file_id, sha256(content) AS content_fp, n::BIGINT AS file_size, ((n + {SIZE - 1}) // {SIZE})::INTEGER AS n_chunks FROM f WHERE n > 0")
 def restore_check(spark, sf_dir):
-    cut = chunking.fingerprinted(chunking.fixed_chunks(files(spark, sf_dir), SIZE))
+    every = files(spark, sf_dir)
+    cut = chunking.fingerprinted(chunking.fixed_chunks(every, SIZE))
     meta = cut.select("file_id", "source", "pos", "size", "fp")
     unique = meta.where("true").groupBy("fp").agg(F.min(F.struct("source", "file_id", "pos", "size")).alias("v")).select("fp", "v.*")
     placed = store.container_ids(store.packed(unique, "source", ("file_id", "pos"), PACK), "source").withColumn("offset", F.col("container_offset"))
     recipe = store.recipes(meta, placed.withColumn("length", F.col("size")))
     data = placed.select("fp", "container_id", "offset", "file_id", "pos").join(cut.select("file_id", "pos", "data"), ["file_id", "pos"])
-    return store.restored(recipe, data).select("file_id", F.sha2("content", 256).alias("content_fp"), F.octet_length("content").cast("long").alias("file_size"), "n_chunks")
+    return store.restored(recipe, data, store.file_heads(every, meta)).select("file_id", F.sha2("content", 256).alias("content_fp"), F.octet_length("content").cast("long").alias("file_size"), "n_chunks")
 
 
 @query(f"""WITH {CHUNKS}, k AS (SELECT fp, min(file_id) AS file_id FROM c GROUP BY fp),

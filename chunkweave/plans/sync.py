@@ -1,7 +1,7 @@
 """Upload, restore, and six-phase synchronisation between two clouds.
 
-A cloud is two tables: chunk_meta (fp, size, container_id, offset, features) and chunk_data (fp, data). Phases hand
-over fingerprints first, then features, and payloads only of what is missing; payloads are joined last.
+A cloud is its files and recipes and two tables of chunks: chunk_meta (fp, size, container_id, offset, features) and
+chunk_data (fp, data). Phases hand over fingerprints first, then features, and payloads only of what is missing; payloads are joined last.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from chunkweave.params import SyncParams
 
 @dataclasses.dataclass
 class Cloud:
-    """What a cloud holds. recipes: (file_id, pos, fp, size)."""
+    """What a cloud holds. recipes: (file_id, pos, fp, size). files: (file_id, file_size, n_chunks), without bytes too."""
 
     recipes: DataFrame
     meta: DataFrame
     data: DataFrame
+    files: DataFrame
 
     def persisted(self) -> Cloud:
         """The same tables, each computed once; a cloud that lasts is written and read instead."""
@@ -44,14 +45,14 @@ def upload(files: DataFrame, params: SyncParams, kind: str = "sha256", name: str
     unique = recipes.groupBy("fp").agg(F.min(F.struct("file_id", "pos", "size")).alias("v")).select("fp", "v.*")
     data = unique.select("fp", "file_id", "pos").join(chunks.select("file_id", "pos", "data"), ["file_id", "pos"]).select("fp", "data")
     meta = _placed(unique, name, params)
-    return Cloud(recipes, meta.join(data.select("fp", features(F.col("data")).alias("features")), "fp"), data)
+    return Cloud(recipes, meta.join(data.select("fp", features(F.col("data")).alias("features")), "fp"), data, store.file_heads(files, recipes))
 
 
 def restore(cloud: Cloud) -> DataFrame:
-    """(file_id, content, n_chunks) of all recipes."""
+    """(file_id, content, n_chunks) of all files."""
     recipe = store.recipes(cloud.recipes, cloud.meta.withColumnRenamed("size", "length"))
     chunks = cloud.meta.select("fp", "container_id", "offset").join(cloud.data, "fp")
-    return store.restored(recipe, chunks)
+    return store.restored(recipe, chunks, cloud.files)
 
 
 @dataclasses.dataclass
@@ -78,7 +79,7 @@ def synchronise(source: Cloud, target: Cloud, params: SyncParams, kind: str = "s
     data = got.withColumn("__fp", chunking.fingerprint(F.col("data"), kind)).select(F.when(F.col("__fp") == F.col("fp"), F.col("fp")).otherwise(wrong).alias("fp"), "data")
     meta = _placed(missing, "sync", params).join(data.select("fp", features(F.col("data")).alias("features")), "fp")
     recipes = target.recipes.unionByName(source.recipes)
-    return Sync(requested, missing, featured, tagged, payload, Cloud(recipes, target.meta.unionByName(meta), target.data.unionByName(data)))
+    return Sync(requested, missing, featured, tagged, payload, Cloud(recipes, target.meta.unionByName(meta), target.data.unionByName(data), target.files.unionByName(source.files)))
 
 
 def traffic(sync: Sync) -> DataFrame:
