@@ -487,6 +487,15 @@ def ordinal_ids(spark, sf_dir):
     return files(spark, sf_dir).where("file_id < 10").select("file_id", div_ceil(F.col("file_size"), 4096).alias("blocks"), ordinal_id(F.col("file_id")).alias("short_id"))
 
 
+BASE36 = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', 1 + (file_id // {36**k}) % 36, 1)" for k in range(7, -1, -1))
+
+
+@query(f"WITH {FILES} SELECT file_id, ((n + 4095) // 4096)::BIGINT AS blocks, {BASE36} AS short_id FROM f")
+def ordinal_ids_all(spark, sf_dir):
+    """Of all documents; ordinal_ids has those of one digit only."""
+    return files(spark, sf_dir).select("file_id", div_ceil(F.col("file_size"), 4096).alias("blocks"), ordinal_id(F.col("file_id")).alias("short_id"))
+
+
 # Companion queries over the star schema and the events; no operator of the storage engine.
 
 
