@@ -323,7 +323,7 @@ def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("id", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "copies")
     keys = ["family", "low", "high"]
-    grouped = texts.join(dealt, "id").select(*keys, "block", "id", "copies", "text").repartition(*keys).sortWithinPartitions(*keys)
+    grouped = texts.where("text is not null").join(dealt, "id").select(*keys, "block", "id", "copies", "text").repartition(*keys).sortWithinPartitions(*keys)
     found = checkpointed(grouped.mapInArrow(_joined(n, measure), LINKS))
     same = sets.where("id != first_id").select("id", F.col("first_id").alias("root"))
     component = components(found.select("id", "root").unionByName(same), "id", "root")
