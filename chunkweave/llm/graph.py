@@ -21,24 +21,33 @@ from chunkweave.llm.vectors import usable
 
 BATCH, WIDE = 256, 4
 ALPHA = 1.2
+#: Vectors whose magnitudes differ by more than this power of two are searched in double precision.
+FLOAT_RANGE = 20
+
+
+def scaled(*matrices: np.ndarray) -> tuple[int, type, list[np.ndarray]]:
+    """Non-zero vectors over one power of two, which makes the largest number one of 0.5 to 1; the type that holds their squares."""
+    powers = np.concatenate([np.frexp(np.abs(m).max(axis=1))[1] for m in matrices])
+    most = int(powers.max())
+    return most, np.float32 if most - powers.min() <= FLOAT_RANGE else np.float64, [np.ldexp(m, -most) for m in matrices]
 
 
 class Graph:
     """Points in rows of x, and up to `degree` neighbours of each, -1 for none."""
 
-    def __init__(self, x: np.ndarray, edges: np.ndarray, entries: np.ndarray):
-        self.x, self.edges, self.entries = np.ascontiguousarray(x, np.float32), edges, entries
+    def __init__(self, x: np.ndarray, edges: np.ndarray, entries: np.ndarray, kind: type = np.float32):
+        self.x, self.edges, self.entries = np.ascontiguousarray(x, kind), edges, entries
         self.norms = np.einsum("ij,ij->i", self.x, self.x)
 
     @classmethod
-    def build(cls, x: np.ndarray, degree: int, beam: int, seed: int = 0) -> Graph:
+    def build(cls, x: np.ndarray, degree: int, beam: int, seed: int = 0, kind: type = np.float32) -> Graph:
         r, n = np.random.default_rng(seed), len(x)
         entries = np.unique(np.append(r.integers(0, n, 8), np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))))
         edges = np.full((n, degree), -1, np.int32)
         few = min(degree // 2, n - 1)
         if few > 0:
             edges[:, :few] = (np.arange(n)[:, None] + r.integers(1, n, (n, few))) % n
-        graph = cls(x, edges, entries)
+        graph = cls(x, edges, entries, kind)
         for alpha in (1.0, ALPHA):
             order = r.permutation(n)
             for i in range(0, n, BATCH):
@@ -94,7 +103,7 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam at its end: the nearest points found to each query, nearest first, and their squared distances."""
-        queries = np.ascontiguousarray(queries, np.float32)
+        queries = np.ascontiguousarray(queries, self.x.dtype)
         n, rows = len(queries), np.arange(len(queries))
         norms = np.einsum("ij,ij->i", queries, queries)
         beam = min(beam, len(self.x))
@@ -150,7 +159,8 @@ def _built(degree: int, beam: int) -> Callable:
             for i, v in zip(table["id"].to_pylist(), table["vector"].to_pylist()):
                 members.setdefault(v, []).append(i)
             x = np.frombuffer(b"".join(members), np.float64).reshape(len(members), -1)
-            graph = Graph.build(x, degree, beam)
+            _, kind, (near,) = scaled(x)
+            graph = Graph.build(near, degree, beam, kind=kind)
             n = len(members)
             yield pa.RecordBatch.from_pydict(
                 {"shard": [shard] * n, "size": [size] * n, "point": np.arange(n, dtype=np.int32), "ids": [sorted(m) for m in members.values()], "vector": list(members), "edges": graph.edges.tolist(), "entry": np.isin(np.arange(n), graph.entries)},
@@ -189,16 +199,18 @@ def _answered(k: int, beam: int) -> Callable:
             if not asked.num_rows or not table.num_rows:
                 continue
             x = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(table.num_rows, -1)
-            graph = Graph(x, np.array(table["edges"].to_pylist(), np.int32), np.flatnonzero(table["entry"].to_numpy()))
+            edges, entries = np.array(table["edges"].to_pylist(), np.int32), np.flatnonzero(table["entry"].to_numpy())
             ids = table["ids"].to_pylist()
             queries = np.frombuffer(b"".join(asked["vector"].to_pylist()), np.float64).reshape(asked.num_rows, -1)
             names = asked["id"].to_pylist()
+            power, kind, (x, queries) = scaled(x, queries)
+            graph = Graph(x, edges, entries, kind)
             for i in range(0, len(queries), BATCH):
                 near, away = graph.search(queries[i : i + BATCH], beam)
                 out = []
                 for q, name, row, d in zip(queries[i : i + BATCH], names[i : i + BATCH], near, away):
                     row = row[np.isfinite(d)]
-                    exact = np.sqrt(((x[row] - q) ** 2).sum(axis=1))
+                    exact = np.ldexp(np.sqrt(((x[row] - q) ** 2).sum(axis=1)), power)
                     best = sorted((s, j) for s, p in zip(exact.tolist(), row.tolist()) for j in ids[p][: k + 1] if j != name)
                     out += [(name, j, s) for s, j in best[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"]) if out else pa.RecordBatch.from_pydict({"query_id": [], "vec_id": [], "score": []}, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
@@ -211,7 +223,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = 160,
 
     A query isn't its own neighbour: the row of its vec_id is left out. Ties go to the smaller vec_id. A query whose
     vector can't be indexed finds nothing and has no rows; so has one of a length that no indexed vector has. An
-    empty index or no queries give an empty table. The queries, a stated set, are sent to every shard.
+    empty index or no queries give an empty table. The queries, a stated set, are sent to every shard. Vectors may be of any
+    magnitude; differences under 1e-150 of the largest number of a shard or its queries count as none.
     """
     shards = index.select("shard", "size").distinct()
     asked = points(queries.dropDuplicates([vec_id]), vec_id, vector, 1, True).drop("shard").join(shards, "size")
