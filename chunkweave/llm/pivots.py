@@ -62,6 +62,30 @@ def _nearest(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarra
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
 
 
+SAMPLE = "place long, id long, direction binary, vector array<double>"
+
+
+def _sampled(pivots: int) -> Callable:
+    """The first rows of the task by place (a hash of the id) that are usable, one for each direction."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple] = {}
+        for batch in batches:
+            places, ids = batch.column("place").to_pylist(), batch.column("id").to_pylist()
+            last = max(first.values())[:2] if len(first) >= pivots else None
+            early = [k for k, at in enumerate(zip(places, ids)) if last is None or at < last]
+            for rows, matrix in usable(batch.column("vector").take(pa.array(early, pa.int64()))):
+                for r, x, u in zip(rows.tolist(), matrix, unit(matrix)):
+                    direction = (np.round(u, 6) + 0.0).tobytes()
+                    row = (places[early[r]], ids[early[r]], direction, x.tolist())
+                    first[direction] = min(row, first.get(direction, row))
+            first = {x[2]: x for x in sorted(first.values())[:pivots]}
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*first.values()), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64())))], names=["place", "id", "direction", "vector"])
+
+    return task
+
+
 LINKS = "id long, root long, links long"
 
 
@@ -135,8 +159,9 @@ def _pairs(table: pa.Table, pivot: int, across: bool, least: float, shared: int)
 def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, pivots: int = 128, nearest: int = 8, shared: int = 2) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept. Links: equal labels and a cosine of at least `least`.
 
-    The pivots are a sample of at most `pivots` vectors, the first by a hash of vec_id; every vector is indexed. Pairs
-    that share fewer than `shared` of their `nearest` pivots are not found; the README has the recall. Pairs found are
+    The pivots are a sample of at most `pivots` usable vectors of different directions, the first by a hash of vec_id; every
+    vector is indexed. Pairs that share fewer than `shared` of their `nearest` pivots, or than all if there are fewer
+    pivots, are not found; the README has the recall. Pairs found are
     compared in double precision. Equal vectors of a task are one class, counted by its number.
 
     Vectors that are null, empty, zero or hold nulls or non-finite numbers, and those without label, link with
@@ -145,8 +170,11 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     one. A list may hold any share of the rows: beyond BLOCK rows it is cut into blocks, each pair of blocks a group.
     """
     rows = table.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector"), F.col(f"`{label}`").cast("string").alias("label"))
-    sample = rows.where("id is not null and label is not null and size(vector) > 0").orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").toArrow()
+    able = rows.where("id is not null and label is not null and size(vector) > 0").select(F.xxhash64("id").alias("place"), "id", "vector")
+    firsts = able.mapInArrow(_sampled(pivots), SAMPLE).groupBy("direction").agg(F.min(F.struct("place", "id", "vector")).alias("v"))
+    sample = firsts.orderBy("v.place", "v.id", "direction").limit(pivots).select("v.vector").toArrow()
     chosen = max((unit(m) for _, m in usable(sample["vector"])), key=len, default=np.empty((0, 0)))
+    shared = min(shared, max(len(chosen), 1))
     described = checkpointed(rows.mapInArrow(_described(chosen, nearest), CLASSES))
     classes = described.where("first_id is null")
     posted = classes.withColumn("pivot", F.explode(F.when(F.size("nearest") > 0, F.slice(F.array_sort("nearest"), 1, F.greatest(F.size("nearest") - (shared - 1), F.lit(1)))).otherwise(F.array(F.lit(-1)))))
