@@ -2,7 +2,7 @@
 
 Parser events are taken as they come and cut into lines at block elements. A line's ratio is its characters over its
 tags. The ratios, smoothed by a Gaussian, fall into two clusters about a threshold. A region (the lines of one article,
-main, section, table or container) is content if most of its text is in lines above the threshold. Parts that
+main, section or other container) is content if most of its text is in lines above the threshold. Parts that
 their element, role, id or class names as menus, notices, adverts, forms, comments and the like are counted
 as lines, but never content.
 """
@@ -24,7 +24,7 @@ from chunkweave.llm.frames import REST, with_rest
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page.
-SILENT = frozenset("head script style noscript template title svg math canvas object iframe audio video select option datalist textarea button".split())
+SILENT = frozenset("head script style noscript template title canvas iframe audio video select option datalist textarea button".split())
 #: Elements and roles that aren't the article.
 ASIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -36,7 +36,10 @@ NAMES = frozenset(
 )
 #: Starting one of these ends an open one of the same set.
 ENDS_LIKE = [frozenset(["p"]), frozenset(["li"]), frozenset(["dt", "dd"]), frozenset(["td", "th"]), frozenset(["tr"])]
-REGIONS = frozenset("article main section div td body table ul ol dl blockquote".split())
+#: Containers, whose lines are judged together; lists, tables and quotes belong to the container around them.
+REGIONS = frozenset("article main section div body".split())
+#: An open element is not ended from inside one of these.
+BARRIERS = REGIONS | frozenset("td table ul ol dl blockquote".split())
 MAIN = frozenset(["article", "main"])
 SIGMA = 1.0
 
@@ -49,6 +52,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, bool, int, bool]] = [("body", False, False, 0, False)]  # tag, silent, aside, region, in an article
         self.parts: list[str] = []
         self.tags = self.regions = 0
+        self.around: dict[int, int] = {}  # of an article or main: the article or main around it
         self.lines: list[tuple[str, int, int, bool, bool]] = []
 
     def _end_line(self) -> None:
@@ -67,14 +71,16 @@ class Lines(HTMLParser):
             return
         for like in ENDS_LIKE:
             if tag in like:
-                self._close(like, REGIONS - like)
+                self._close(like, BARRIERS - like)
         if tag not in INLINE and tag not in ("p", "html", "body"):
-            self._close(ENDS_LIKE[0], REGIONS)
+            self._close(ENDS_LIKE[0], BARRIERS)
         _, silent, aside, region, main = self.stack[-1]
         named = _named(attrs) and tag not in ("html", "body", "article", "main")
         aside = aside or named or tag in ASIDE and not (tag == "header" and main)
         if named or tag in MAIN or tag in REGIONS and not main:
             self.regions += 1
+            if tag in MAIN and main and not aside:
+                self.around[self.regions] = region
             region = self.regions
         self.stack.append((tag, silent or tag in SILENT, aside, region, main or tag in MAIN))
 
@@ -155,6 +161,11 @@ def main_text(html: str | None) -> str:
     passed = {r for r in total if 2 * content[r] >= total[r]}
     if in_main:  # a page that marks its article has its content there
         chosen = passed & in_main or in_main
+        led = {parser.around[r] for r in passed & parser.around.keys()}
+        chosen = chosen | {r for r, outer in parser.around.items() if outer in chosen - led}  # no article in it stands out
+        for r in sorted(chosen, reverse=True):  # main's own lines beside an article, as its heading, go with it
+            while (r := parser.around.get(r)) is not None:
+                chosen = chosen | {r}
     else:
         chosen = passed or {max(total, key=total.__getitem__)}
     return " ".join(t for t, _, r, may, _ in lines if may and r in chosen)
