@@ -1,11 +1,11 @@
-"""Substring dedup by recompression: repeated word windows are found by names that equal substrings share.
+"""Substring dedup by minimisers at the symbol starts of recompression: equal substrings share their names.
 
 Rounds name the tokens level by level. In each round a name's top bit marks it left or right, and a left name
 followed by a right name is replaced by the name of the pair; names are 64-bit content hashes, so they are global
 without being dealt out by any table. Equal neighbours have equal bits, hence runs are never torn into pairs: a run
 stays a row of symbols of its own. Whether a symbol of level 2 starts at a word depends on two words to either side
-only, so equal windows have equal symbol starts in their interior. Above the symbols, the name of the SPAN words
-from a symbol start is a high-level symbol; the smallest of a window's interior is its block. Equal windows have
+only, so equal windows have equal symbol starts in their interior. The symbols' own names are not used: the smallest hash
+of the SPAN words from a symbol start in a window's interior, a minimiser, is the window's block. Equal windows have
 equal blocks. A first round over Spark finds the blocks that occur twice, a second one compares the names of whole
 windows under those blocks only: about a sixth of all words goes through the first shuffle, next to nothing of
 unique text through the second.
