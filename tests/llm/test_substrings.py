@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from chunkweave.llm.substrings import without_repeats
+from chunkweave.llm import substrings
+from chunkweave.llm.substrings import Windows, without_repeats
 
 SCHEMA = "doc_id long, text string, block string, n_words string"
 
@@ -71,3 +72,37 @@ def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = without_repeats(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out} == plain(rows)
+
+
+def test_other_texts_of_a_doc_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(60))
+    out = got(spark, [(1, a), (2, a), (2, b), (2, b), (3, None), (3, b + " c")])
+    assert sorted(out) == [(1, (30, 0, a)), (2, (30, 30, "")), (2, (60, 0, b)), (2, (60, 0, b)), (3, (0, 0, "")), (3, (61, 60, "c"))]
+    same = got(spark, [(5, "x " + a), (5, "y " + a), (4, b)])
+    assert sorted(n for i, (_, n, _) in same if i == 5) == [0, 30]  # the text with the smaller hash is the earlier one
+
+
+@pytest.mark.parametrize("width", [20, 23, 40])
+def test_signatures_spell_windows(width):
+    r = random.Random(width)
+    texts = [" ".join(r.choice("ab" if k % 2 else "abcdefgh") * r.choice([1, 1, 1, 9]) for _ in range(120)).replace("", " ") for k in range(30)]
+    w = Windows([t.encode() for t in texts], width)
+    words = [x for t in texts for x in t.split()]
+    names = dict(zip(w.at.tolist(), w.signatures(w.at).tolist()))
+    spelt = {}
+    for at, name in names.items():
+        assert spelt.setdefault(tuple(words[at : at + width]), name) == name
+    assert len(set(names.values())) == len(spelt)
+    anchor, place = w.anchors()
+    found = {}
+    for at, a, p in zip(w.at.tolist(), anchor.tolist(), place.tolist()):
+        known = found.setdefault(tuple(words[at : at + width]), (a, {}))
+        assert known[0] == a and known[1].setdefault(p, at) == at  # equal windows: one anchor, at places of their own
+
+
+def test_a_common_phrase_and_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP_ROWS", 2)
+    r = random.Random(1)
+    phrase, passage = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(40))
+    rows = [(i, " ".join([*(f"x{r.random()}" for _ in range(15)), phrase, *(f"y{r.random()}" for _ in range(15)), passage if i % 3 == 0 else ""])) for i in range(300, 0, -1)]
+    assert dict(got(spark, rows)) == plain(rows)
