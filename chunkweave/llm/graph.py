@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from chunkweave.llm.frames import checkpointed, grouped_tables
 from chunkweave.llm.vectors import usable
 
-BATCH, WIDE = 256, 4
+BATCH, WIDE, ENTRIES = 256, 4, 8
 ALPHA = 1.2
 #: Vectors whose magnitudes differ by more than this power of two are searched in double precision.
 FLOAT_RANGE = 20
@@ -41,37 +41,50 @@ class Graph:
 
     @classmethod
     def build(cls, x: np.ndarray, degree: int, beam: int, seed: int = 0, kind: type = np.float32) -> Graph:
+        """Points come in one by one, later on in batches of up to BATCH, an eighth of the points before them."""
         r, n = np.random.default_rng(seed), len(x)
-        entries = np.unique(np.append(r.integers(0, n, 8), np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))))
-        edges = np.full((n, degree), -1, np.int32)
-        few = min(degree // 2, n - 1)
-        if few > 0:
-            edges[:, :few] = (np.arange(n)[:, None] + r.integers(1, n, (n, few))) % n
-        graph = cls(x, edges, entries, kind)
-        for alpha in (1.0, ALPHA):
-            order = r.permutation(n)
-            for i in range(0, n, BATCH):
-                graph._insert(order[i : i + BATCH], beam, alpha)
+        order = r.permutation(n)
+        centre = np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))
+        order = np.append(centre, order[order != centre])
+        graph = cls(x, np.full((n, degree), -1, np.int32), order[:1], kind)
+        i = 1
+        while i < n:
+            batch = order[i : i + min(max(1, i // 8), BATCH)]
+            graph._insert(batch, beam)
+            i += len(batch)
+        graph.entries = np.unique(order[:ENTRIES])
         return graph
 
-    def _insert(self, points: np.ndarray, beam: int, alpha: float) -> None:
+    def _insert(self, points: np.ndarray, beam: int) -> None:
+        """Edges to what pruning keeps of the points that a search finds, and back; a point without room is pruned first."""
         found, _ = self.search(self.x[points], beam)
-        self.edges[points] = self._pruned(points, np.concatenate([found, self.edges[points]], axis=1), alpha)
-        a, b = np.repeat(points, self.edges.shape[1]), self.edges[points].ravel()
+        degree = self.edges.shape[1]
+        slim = max(1, degree * 3 // 4)
+        self.edges[points, :slim] = self._pruned(points, found, slim)
+        a, b = np.repeat(points, slim), self.edges[points, :slim].ravel()
         a, b = a[b >= 0], b[b >= 0]
         order = np.argsort(b, kind="stable")
         a, b = a[order], b[order]
         target, first, count = np.unique(b, return_index=True, return_counts=True)
-        more = np.full((len(target), int(count.max())) if len(target) else (0, 0), -1, np.int32)
+        held = (self.edges[target] >= 0).sum(axis=1)
+        full = held + count > degree
         row = np.repeat(np.arange(len(target)), count)
-        more[row, np.arange(len(a)) - first[row]] = a
-        for i in range(0, len(target), BATCH):
-            part = slice(i, i + BATCH)
-            self.edges[target[part]] = self._pruned(target[part], np.concatenate([self.edges[target[part]], more[part]], axis=1), alpha)
-
-    def _pruned(self, points: np.ndarray, candidates: np.ndarray, alpha: float) -> np.ndarray:
-        """The candidates that pruning keeps for each point, nearest first."""
-        degree, rows = self.edges.shape[1], np.arange(len(points))
+        place = np.arange(len(a)) - first[row]
+        roomy = ~full[row]
+        self.edges[b[roomy], (held[row] + place)[roomy]] = a[roomy]
+        over = np.flatnonzero(full)
+        for i in range(0, len(over), BATCH):
+            part = over[i : i + BATCH]
+            more = np.full((len(part), int(count[part].max())), -1, np.int32)
+            for k, t in enumerate(part):
+                more[k, : count[t]] = a[first[t] : first[t] + count[t]]
+            kept = self._pruned(target[part], np.concatenate([self.edges[target[part]], more], axis=1), slim)
+            self.edges[target[part]] = -1
+            self.edges[target[part], :slim] = kept
+
+    def _pruned(self, points: np.ndarray, candidates: np.ndarray, most: int) -> np.ndarray:
+        """The candidates, up to `most`, that pruning keeps for each point, nearest first."""
+        rows = np.arange(len(points))
         candidates = np.sort(np.where(candidates == points[:, None], -1, candidates), axis=1)
         candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -1
         away = self._from(self.x[points], self.norms[points], candidates)
@@ -79,20 +92,18 @@ class Graph:
         candidates, away = np.take_along_axis(candidates, order, 1), np.take_along_axis(away, order, 1)
         width = int((candidates >= 0).sum(axis=1).max(initial=0))
         candidates, away = candidates[:, :width], away[:, :width].copy()
-        out, vectors = np.full((len(points), degree), -1, np.int32), self.x[candidates]
-        simple = (candidates >= 0).sum(axis=1) <= degree
-        if alpha == ALPHA and simple.all():
-            out[:, : min(degree, width)] = candidates[:, :degree]
-            return out
-        for k in range(degree):
-            best = np.argmin(away, axis=1) if width else rows * 0
-            live = np.isfinite(away[rows, best]) if width else rows < 0
+        out, vectors = np.full((len(points), most), -1, np.int32), self.x[candidates]
+        norms = self.norms[candidates]
+        between = np.matmul(vectors, vectors.transpose(0, 2, 1))
+        for k in range(min(most, width)):
+            best = np.argmin(away, axis=1)
+            live = np.isfinite(away[rows, best])
             if not live.any():
                 break
             chosen = candidates[rows, best]
             out[live, k] = chosen[live]
-            between = self.norms[candidates] + self.norms[chosen][:, None] - 2 * np.matmul(vectors, vectors[rows, best][:, :, None])[:, :, 0]
-            away[(alpha * alpha * between <= away) & live[:, None]] = np.inf
+            apart = norms + self.norms[chosen][:, None] - 2 * between[rows, best]
+            away[(ALPHA * ALPHA * apart <= away) & live[:, None]] = np.inf
             away[rows, best] = np.inf
         return out
 

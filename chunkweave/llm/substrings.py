@@ -51,7 +51,9 @@ class Symbols:
         self.run = np.cumsum(new) - 1
         self.first = np.append(np.flatnonzero(new), n)
         count, base = np.diff(self.first), names[self.first[:-1]]
-        self.run_names = np.where(count == 1, base, pair_names(base, count.astype(np.uint64), 2 * level + 1))
+        many = np.flatnonzero(count > 1)
+        self.run_names = base.copy()
+        self.run_names[many] = pair_names(base[many], count[many].astype(np.uint64), 2 * level + 1)
         left = (mixed(base ^ np.uint64(2 * level + 1)) >> TOP).astype(bool)
         of = doc[self.first[:-1]]
         self.paired = np.zeros(len(base) + 1, bool)  # a run with the one after it
@@ -61,9 +63,9 @@ class Symbols:
         starts[1:] = ~self.paired[:-2]
         self.above = np.cumsum(starts) - 1
         at = np.flatnonzero(starts)
-        after = np.minimum(at + 1, len(base) - 1)
-        self.up_names = np.where(self.paired[at], pair_names(self.run_names[at], self.run_names[after], 2 * level + 2), self.run_names[at])
-        self.up_doc = of[at]
+        two = np.flatnonzero(self.paired[at])
+        self.up_names, self.up_doc = self.run_names[at], of[at]
+        self.up_names[two] = pair_names(self.run_names[at[two]], self.run_names[at[two] + 1], 2 * level + 2)
 
     def interior(self, a: np.ndarray, b: np.ndarray, signature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Of windows of symbols a up to b: the symbols of the next level that are theirs wherever they occur; b <= a for none.
