@@ -57,11 +57,12 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     """One row a conversation: conv_id, formatted, loss_spans (start from 1 and length, in code points).
 
     Turns are rows by turn, null first; ties by role, then text, and repeated rows are turns of their own. A null role or
-    text is empty. Rows without conv_id are one conversation. Other columns play no part. An empty table
+    text is empty. A row without conv_id is a conversation of its own. Other columns play no part. An empty table
     gives an empty one. A conversation is one row and so meets in one task, whatever other groups there are.
     """
     rows = conversations.select(F.col(f"`{conv_id}`").alias("conv_id"), F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).alias("t"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = turns.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     pieces = turns.select("conv_id", F.flatten(F.transform(_merged(F.col("turns")), _pieces)).alias("pieces"))
 
     def span(state: Column, p: Column) -> Column:

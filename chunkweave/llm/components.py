@@ -42,6 +42,6 @@ def _large_star(e: DataFrame) -> DataFrame:
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them."""
-    smallest = e.groupBy("u").agg(F.min("v").alias("m"))
+    smallest = checkpointed(e.groupBy("u").agg(F.min("v").alias("m")))  # as above
     linked = e.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return linked.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()

@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
         return set_already.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(folder)
@@ -108,15 +108,17 @@ def even_bits(key: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(salt))), 1, BITS // 4), 16, 10).cast("long")
 
 
-def running(df: DataFrame, group: str, order: list[str], total: Column, name: str, slices: int, of_group: DataFrame | None = None) -> DataFrame:
+def running(df: DataFrame, group: str, order: list[str], total: Column, name: str, slices: int, of_group: DataFrame | None = None, summed: DataFrame | None = None) -> DataFrame:
     """Adds the sum of `total` over the rows before this one in its group, in the order given; at ties any order holds.
 
     A group, which is not null, may be any share of the table: order[0] is a whole number spread evenly over BITS bits. It cuts a group
     into `slices`, whose sums are added up as a small table; only rows of one slice meet in one task. of_group: a table
-    with one row for each `group`, whose other columns are added too.
+    with one row for each `group`, whose other columns are added too. summed: a table with the same rows, group, order
+    and total, which is cheaper to add up.
     """
-    sliced = df.withColumn("__slice", F.shiftright(F.shiftright(order[0], BITS - 40) * F.lit(slices), 40).cast("int")).withColumn("__total", total)
-    sums = sliced.groupBy(group, "__slice").agg(F.sum("__total").alias("__sum"))
+    slice_of = F.shiftright(F.shiftright(order[0], BITS - 40) * F.lit(slices), 40).cast("int")
+    sliced = df.withColumn("__slice", slice_of).withColumn("__total", total)
+    sums = (sliced if summed is None else summed.withColumn("__slice", slice_of).withColumn("__total", total)).groupBy(group, "__slice").agg(F.sum("__total").alias("__sum"))
     before = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col(group).alias("__group"), F.col("__slice").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
     if of_group is not None:

@@ -1,9 +1,12 @@
 """Approximate nearest neighbours on robust-pruned directed graphs (after Subramanya and others, 2019), one a shard.
 
-A shard's graph starts at random. For each point a greedy beam search proposes neighbours, and relaxed distance pruning
-keeps a diverse few: a candidate goes if a kept one is closer to it, by a factor, than the point is. Edges are put in
-both ways, and a point with too many is pruned again. A query searches the graph of every shard with a beam. Points are
-taken a batch at a time, in lockstep, so each step is a few matrix operations. Equal vectors are one point.
+A shard's graph grows from its medoid. For each point a greedy beam search in the graph so far proposes neighbours, and relaxed
+distance pruning keeps a diverse few: a candidate goes if a kept one is closer to it, by a factor, than the point is. Edges are
+put in both ways, and a point whose list is full is pruned again. A query searches the graph of every shard with a beam. Points
+are taken a batch at a time, in lockstep, so each step is a few matrix operations. Equal vectors are one point.
+
+A search visits some thousands of points, more or less whatever the size of the shard, so shards are large; the README has the
+share visited and the recall.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from chunkweave.llm.frames import checkpointed, grouped_tables
 from chunkweave.llm.vectors import usable
 
-BATCH, WIDE, ENTRIES = 256, 4, 8
+BATCH, WIDE, ENTRIES = 256, 2, 8
 ALPHA = 1.2
 #: Vectors whose magnitudes differ by more than this power of two are searched in double precision.
 FLOAT_RANGE = 20
@@ -37,6 +40,8 @@ class Graph:
 
     def __init__(self, x: np.ndarray, edges: np.ndarray, entries: np.ndarray, kind: type = np.float32):
         self.x, self.edges, self.entries = np.ascontiguousarray(x, kind), edges, entries
+        #: Distances from queries to points that searches have computed.
+        self.visits = 0
         self.norms = np.einsum("ij,ij->i", self.x, self.x)
 
     @classmethod
@@ -138,6 +143,7 @@ class Graph:
             new = np.where(seen[rows[:, None], new], -1, new)
             seen[rows[:, None], new] = True
             points = np.concatenate([points, new], axis=1)
+            self.visits += int((new >= 0).sum())
             away = np.concatenate([away, self._from(queries, norms, new)], axis=1)
             done = np.concatenate([done, new < 0], axis=1)
 
@@ -189,10 +195,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Ta
             yield int(keys[0, a]), int(keys[1, a]), table.slice(a, b - a)
 
 
-def build_index(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = 4_000, degree: int = 32, beam: int = 64) -> DataFrame:
+def build_index(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = 100_000, degree: int = 64, beam: int = 48) -> DataFrame:
     """The graphs of all shards: shard, size, point, ids (of equal vectors), vector (bytes of doubles), edges, entry.
 
-    Every vector is indexed, but those that are null, empty, zero or hold nulls or non-finite numbers, and rows without vec_id.
+    Every vector is indexed, but those that are null, empty, zero or hold nulls or non-finite numbers, and rows without vec_id. A
+    shard has about `shard_rows` vectors, dealt by a hash of vec_id, and is built in one task. Other columns play no part.
     """
     shards = max(1, -(-table.count() // shard_rows))
     rows = points(table, vec_id, vector, shards, False)
@@ -229,12 +236,12 @@ def _answered(k: int, beam: int) -> Callable:
     return task
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = 160, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = 112, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest found to each query: query_id, rank from 1, vec_id, score, the Euclidean distance in double precision.
 
     A query isn't its own neighbour: the row of its vec_id is left out. Ties go to the smaller vec_id. A query whose
     vector can't be indexed finds nothing and has no rows; so has one of a length that no indexed vector has. An
-    empty index or no queries give an empty table. The queries, a stated set, are sent to every shard. Vectors may be of any
+    empty index or no queries give an empty table. Other columns of the queries play no part. The queries, a stated set, are sent to every shard. Vectors may be of any
     magnitude; differences under 1e-150 of the largest number of a shard or its queries count as none.
     """
     shards = index.select("shard", "size").distinct()

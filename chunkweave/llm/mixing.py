@@ -55,9 +55,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     size = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long")
     packed = with_rest(docs.withColumns({"__even": even, "__size": size, "__id": F.col(f"`{doc_id}`").cast("long"), "__source": F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit(NO_SOURCE))}), "__even", "__size", "__id", "__source")
     packed = packed.select(F.col("__even").alias("even"), F.col("__size").alias("size"), F.col("__id").alias("id"), F.col("__source").alias("source"), REST)
-    sources = targets(packed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
-    queued = running(packed, "source", ["even", "id", "size"], F.col("size"), "before", slices, sources)
-    cut = _cut(queued.drop(REST), epochs)
+    sized = checkpointed(packed.drop(REST))  # the texts are read once for it, and once for the result
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
+    order = ["even", "id", "size"]
+    cut = _cut(running(sized, "source", order, F.col("size"), "before", slices, sources), epochs)
+    queued = running(packed, "source", order, F.col("size"), "before", slices, sources, summed=sized)
     served = F.array(*[F.struct(_finish(F.lit(e)), F.col("even"), F.coalesce("id", F.lit(-(2**63))), F.col("size"), F.lit(e)) for e in range(epochs)])
     last = F.struct(*[F.lit(x).cast(t) for x, t in zip(cut or (None, 0, 0, 0, 0), ("double", "long", "long", "long", "int"))])
     times = F.transform(F.filter(served, lambda s: s <= last), lambda s: s["col1"])

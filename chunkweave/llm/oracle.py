@@ -8,15 +8,17 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), l AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM c
 ), o AS (
-  SELECT *, lag(role) OVER w AS before, row_number() OVER w AS place FROM c
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  SELECT *, lag(role) OVER w AS before, row_number() OVER w AS place FROM l
+  WINDOW w AS (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text)
 ), g AS (
   SELECT conv_id, count(*)::BIGINT AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
     coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss,
     sum(length({_ESCAPED.format("text")}) + CASE WHEN before IS NOT DISTINCT FROM role THEN 5 ELSE 16 + length({_ESCAPED.format("role")}) END)::BIGINT AS formatted_chars
-  FROM o GROUP BY conv_id
+  FROM o GROUP BY conv_id, lone
 )
 SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """,

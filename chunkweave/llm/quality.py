@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ class FitBounds:
     bad_rows: int = 700
     #: Labelled rows with longer texts are not fitted on.
     most_chars: int = 65_536
+    #: Bytes of the fitted texts of a class; rows that come later by the hash are left out.
+    most_bytes: int = 24_000_000
     dictionary_bytes: int = 60_000
 
 
@@ -112,15 +114,20 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: FitBounds = FitBounds(), fol
     """A classifier from labelled rows that are not held out, on a sample of bounded size.
 
     The sample of a class: its first rows by a hash of doc_id, so it is the same at each run. Part of it makes the
-    dictionary, the rest calibrates. Null labels and null texts are not learnt from. With one class only, or none,
+    dictionary, the rest calibrates. Null labels and null texts are not learnt from, nor are doc_ids with both labels. Of
+    rows that repeat a doc_id those count that come within the bounds. With one class only, or none,
     the model scores every text by the share of good labels, one half without any.
     """
-    usable = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{doc_id}`").isNotNull() & ~held_out(F.col(f"`{doc_id}`"), folds)).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
+    usable = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{doc_id}`").isNotNull() & ~held_out(F.col(f"`{doc_id}`"), folds))
+    usable = usable.groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.min(f"`{label}`").cast("int").alias("label"), F.max(f"`{label}`").cast("int").alias("other")).where("label = other").drop("other")
     most = {0: bounds.dictionary_rows + bounds.bad_rows, 1: bounds.dictionary_rows + bounds.good_rows}
     picked = [usable.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in most.items()]
     sample = picked[0].unionByName(picked[1])
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull() & (F.char_length("text") <= bounds.most_chars))
-    rows = texts.join(F.broadcast(sample), "id").select("label", "text", F.xxhash64("id").alias("place"), "id").collect()  # at most as many rows as the bounds say, for distinct ids
+    found = texts.join(F.broadcast(sample), "id").select("label", F.xxhash64("id").alias("place"), "id", "text")
+    found = found.orderBy("place", "id", "text").limit(sum(most.values()))  # for repeated doc_ids; no more than the bounds say
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("place", "id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= bounds.most_bytes).drop("upto").collect()
     by_class: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r["place"], r["id"], r["text"])):
         by_class[r["label"]].append(r["text"].encode())
