@@ -7,6 +7,8 @@ eight members or so, so a common word, line or passage is no key and makes no lo
 covers fewer; then members that many sets have are counted first and left out of the keys. Sets that share keys are
 put into families by connected components, and only families get their texts.
 
+A large family is cut into bands of sizes, each of which links with the bands beside it only, and bands into blocks of text.
+
 Joining. In a family, inverted lists over the members, rarest first, are grouped into blocks by the member's
 position in its set; a probe skips a block if its position, or all sizes in it, rule out a link, and skips what is
 left of a list from the first set that is too small (index-level skipping). If no candidate is left, the set has no
@@ -26,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chunkweave.llm.components import components
 from chunkweave.llm.frames import batches_by_weight, checkpointed, grouped_tables
@@ -37,6 +38,8 @@ SLICE_BYTES, BLOCK_BYTES = 2_000_000, 6_000_000
 #: Bytes of text whose shingles are counted together.
 COUNT_BYTES = 8_000_000
 RESCUES = 3
+#: More than the blocks of a band of sizes.
+BANDED = 1 << 20
 #: Sets of a family whose overlaps with all others are at hand at a time.
 KEPT = 64
 LOW = np.uint64(0xFFFFFFFF)
@@ -49,6 +52,8 @@ class Measure:
         if not 0 < num <= den or 2 * num <= den:
             raise ValueError("the similarity must be over 0.5 and at most 1")
         self.num, self.den = num, den
+        #: Sizes are in bands of this width, as a logarithm; a little over the ratio of the sizes of sets that link.
+        self.band = max(1e-3, math.log(den / num)) * 1.001
 
     def differ(self, a, b):
         """The most members in which linked sets of a and b members can differ."""
@@ -306,21 +311,27 @@ def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     that repeat a doc_id with its text count as linked copies; with other texts they share one component, and n_links
     counts the partners of all of them. Other columns play no part. An empty table gives an empty one.
 
-    A family of copies may hold any share of the rows: it is cut into blocks of about BLOCK_BYTES, and each pair of
-    blocks is a group of its own. Equal sets are joined once for each task that read some, and counted by their number.
+    A family of copies may hold any share of the rows: it is cut into blocks of about BLOCK_BYTES and like sizes, and each pair of
+    blocks that can hold links is a group of its own. Equal sets are joined once for each task that read some, and counted by their number.
     """
     measure = Measure(num, den)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     common = common_members(texts, n) if 10 * num < 9 * den else None  # parts are small then, and passages would match
     sets = checkpointed(texts.mapInArrow(_sets(n, measure, common), SETS))
-    by_key = Window.partitionBy("key")
     listed = sets.where("id = first_id").select("id", F.explode("keys").alias("key"))
-    pairs = listed.withColumn("k", F.count(F.lit(1)).over(by_key)).withColumn("least", F.min("id").over(by_key)).where("k > 1")
-    families = components(pairs, "id", "least")
-    classes = sets.where("n > 0").groupBy("first_id").agg(F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes"))
-    members = families.join(classes, F.col("node") == F.col("first_id")).select(F.col("component").alias("family"), F.col("node").alias("id"), "copies", "bytes")
-    sizes = members.groupBy("family").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Tables of their own, so that the joins are of two plain shuffles and adaptive execution can split a hot key or family.
+    shared = checkpointed(listed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("least")).where("k > 1").select("key", "least"))
+    families = components(listed.join(shared, "key").select("id", "least"), "id", "least")
+    classes = sets.where("n > 0").groupBy("first_id").agg(F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes"), F.max("n").alias("n"))
+    members = families.join(classes, F.col("node") == F.col("first_id")).select(F.col("component").alias("family"), F.col("node").alias("id"), "copies", "bytes", F.floor(F.log("n") / F.lit(measure.band)).cast("int").alias("band"))
+    members = checkpointed(members)
+    large = members.groupBy("family").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).select("family")
+    blocks = members.join(large, "family").groupBy("family", "band").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    large = checkpointed(blocks.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("of_band")))  # some hundred bands at most
+    # Sets of a band link with those of the bands beside it at most; a block is a band's number and one in it.
+    split = members.join(large, "family", "left").withColumn("block", F.when(F.col("of_band").isNull(), 0).otherwise(F.col("band") * BANDED + F.pmod(F.xxhash64("id"), F.try_element_at("of_band", "band"))).cast("long"))
+    near = F.expr(f"flatten(transform(filter(array(band - 1, band, band + 1), b -> try_element_at(of_band, b) is not null), b -> transform(sequence(0, try_element_at(of_band, b) - 1), i -> bigint(b) * {BANDED} + i)))")
+    dealt = split.withColumn("other", F.explode(F.when(F.col("of_band").isNull(), F.array(F.lit(0).cast("long"))).otherwise(near)))
     dealt = dealt.select("id", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "copies")
     keys = ["family", "low", "high"]
     grouped = texts.where("text is not null").join(dealt, "id").select(*keys, "block", "id", "copies", "text").repartition(*keys).sortWithinPartitions(*keys)
