@@ -94,7 +94,11 @@ def totals(chunks: DataFrame, *by: str) -> DataFrame:
 
 def totals_rollup(chunks: DataFrame, *by: str) -> DataFrame:
     """totals() of each level of a rollup; null stands for all."""
-    levels = [totals(chunks, *by[:k]).withColumns({c: F.lit(None).cast(chunks.schema[c].dataType) for c in by[k:]}) for k in range(len(by), -1, -1)]
+    each = chunks.groupBy(*by, "fp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("size"))
+    levels = []  # coarser ones from the sums of the finest, whose shuffle they share
+    for k in range(len(by), -1, -1):
+        rows = each if k == len(by) else each.groupBy(*by[:k], "fp").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"))
+        levels.append(_summed(rows.groupBy(*by[:k])).withColumns({c: F.lit(None).cast(chunks.schema[c].dataType) for c in by[k:]}))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

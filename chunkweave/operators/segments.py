@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chunkweave.functions.hashing import byte_sum, fingerprint, is_hook
 from chunkweave.operators.dedup import first_occurrence
-from chunkweave.operators.ordered import in_order
+from chunkweave.operators.ordered import streamed
 from chunkweave.params import SparseParams
 
 
@@ -93,6 +93,12 @@ class SparseIndex:
         return new
 
 
+def _flushed(index: SparseIndex, held: list[pa.Table]) -> Iterator[pa.Table]:
+    if held:
+        table = pa.concat_tables(held)
+        yield table.append_column("is_unique", pa.array([int(x) for x in index.segment(table["fp"].to_pylist())], pa.int32()))
+
+
 def sparse_indexing(chunks: DataFrame, lane: str, params: SparseParams = SparseParams()) -> DataFrame:
     """Adds is_unique by sparse indexing: a segment is compared with its champions only.
 
@@ -100,16 +106,19 @@ def sparse_indexing(chunks: DataFrame, lane: str, params: SparseParams = SparseP
     run beside each other, each with an index of its own.
     """
 
-    def rows(groups: Iterator[tuple[tuple, pa.Table]]) -> Iterator[pa.Table]:
-        for _, table in groups:
-            index, found, open_, key = SparseIndex(params), [], [], None
-            for here, fp in zip(zip(table["file_id"].to_pylist(), table["segment"].to_pylist()), table["fp"].to_pylist()):
-                if here != key and open_:
-                    found += index.segment(open_)
-                    open_ = []
-                key = here
-                open_.append(fp)
-            found += index.segment(open_)
-            yield table.append_column("is_unique", pa.array([int(x) for x in found], pa.int32()))
-
-    return in_order(chunks, [lane], ["file_id", "segment", "pos"], rows, chunks, "is_unique int")
+    def rows(pieces: Iterator[tuple[tuple, bool, pa.Table]]) -> Iterator[pa.Table]:
+        index, held, key = SparseIndex(params), [], None
+        for _, new, table in pieces:  # a segment is held until its last chunk has come
+            if new:
+                yield from _flushed(index, held)
+                index, held, key = SparseIndex(params), [], None
+            places = list(zip(table["file_id"].to_pylist(), table["segment"].to_pylist()))
+            cuts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)]
+            for a, b in zip(cuts, cuts[1:]):
+                if places[a] != key:
+                    yield from _flushed(index, held)
+                    held, key = [], places[a]
+                held.append(table.slice(a, b - a))
+        yield from _flushed(index, held)
+
+    return streamed(chunks, [lane], ["file_id", "segment", "pos"], rows, chunks, "is_unique int")

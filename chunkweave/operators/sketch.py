@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.functions.hashing import little_u32
-from chunkweave.operators.ordered import in_order
+from chunkweave.operators.ordered import streamed
 from chunkweave.params import FrequencyParams
 
 
@@ -113,19 +113,34 @@ class FrequencyIndex:
             self.offer(fp, freq)
         return out
 
+    def rows(self, table: pa.Table) -> pa.Table:
+        """The table's rows, batch by batch, with freq and tier."""
+        fps, found = table["fp"].to_pylist(), []
+        for i in range(0, len(fps), self.params.batch):
+            found += self.batch(fps[i : i + self.params.batch])
+        freq, tier = zip(*found)
+        return table.append_column("freq", pa.array(freq, pa.int64())).append_column("tier", pa.array(tier, pa.string()))
+
 
 def replay(chunks: DataFrame, lane: str, params: FrequencyParams, order: tuple[str, ...] = ("file_id", "pos")) -> DataFrame:
     """Adds freq and tier as the frequency index finds them, for each lane's stream on its own."""
 
-    def rows(groups: Iterator[tuple[tuple, pa.Table]]) -> Iterator[pa.Table]:
-        for _, table in groups:
-            index, fps, found = FrequencyIndex(params), table["fp"].to_pylist(), []
-            for i in range(0, len(fps), params.batch):
-                found += index.batch(fps[i : i + params.batch])
-            freq, tier = zip(*found)
-            yield table.append_column("freq", pa.array(freq, pa.int64())).append_column("tier", pa.array(tier, pa.string()))
-
-    return in_order(chunks, [lane], list(order), rows, chunks, "freq bigint, tier string")
+    def rows(pieces: Iterator[tuple[tuple, bool, pa.Table]]) -> Iterator[pa.Table]:
+        index, held = None, None
+        for _, new, table in pieces:
+            if new:
+                if held is not None and held.num_rows:
+                    yield index.rows(held)
+                index, held = FrequencyIndex(params), None
+            held = table if held is None else pa.concat_tables([held, table])
+            whole = held.num_rows - held.num_rows % params.batch
+            if whole:
+                yield index.rows(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield index.rows(held)
+
+    return streamed(chunks, [lane], list(order), rows, chunks, "freq bigint, tier string")
 
 
 def leakage(stored: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkweave.operators.ordered import in_order
+from chunkweave.operators.ordered import streamed
 from chunkweave.params import ADDRESS_BYTES, FEATURE_BYTES, FP_BYTES, IV_BYTES, PackParams
 
 
@@ -21,9 +21,11 @@ def packed(chunks: DataFrame, lane: str, order: tuple[str, ...], params: PackPar
     """
     row = FEATURE_BYTES + FP_BYTES if metadata else 0
 
-    def rows(groups: Iterator[tuple[tuple, pa.Table]]) -> Iterator[pa.Table]:
-        for _, table in groups:
-            container = body = meta = 0
+    def rows(pieces: Iterator[tuple[tuple, bool, pa.Table]]) -> Iterator[pa.Table]:
+        container = body = meta = 0
+        for _, new, table in pieces:
+            if new:
+                container = body = meta = 0
             places, offsets = [], []
             for n in table[size].to_pylist():
                 fits = IV_BYTES + n + body + row + meta < params.container_bytes and row + meta < params.meta_bytes
@@ -34,7 +36,7 @@ def packed(chunks: DataFrame, lane: str, order: tuple[str, ...], params: PackPar
                 body, meta = body + n + IV_BYTES, meta + row
             yield table.append_column("container", pa.array(places, pa.int64())).append_column("container_offset", pa.array(offsets, pa.int64()))
 
-    return in_order(chunks, [lane], list(order), rows, chunks, "container bigint, container_offset bigint")
+    return streamed(chunks, [lane], list(order), rows, chunks, "container bigint, container_offset bigint")
 
 
 def container_ids(placed: DataFrame, lane: str) -> DataFrame:
@@ -77,14 +79,38 @@ def restored(recipe: DataFrame, store: DataFrame, files: DataFrame | None = None
     """
     joined = recipe.join(store.select("container_id", "offset", "data"), ["container_id", "offset"], "left")
     checked = F.when(F.col("data").isNull(), F.raise_error(F.concat(F.lit("no chunk for "), F.col("fp")))).otherwise(F.col("data"))
-    rows = joined.select("file_id", F.struct("pos", checked.alias("data")).alias("part"), F.lit(None).cast("long").alias("told"))
+    rows = joined.select("file_id", "pos", checked.alias("data"), F.lit(None).cast("long").alias("told"))
     if files is not None:
         rows = rows.unionByName(files.select("file_id", F.col("n_chunks").cast("long").alias("told")), allowMissingColumns=True)
-    listed = rows.groupBy("file_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("told").alias("told"))
-    content = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["data"]))
-    differs = F.raise_error(F.concat(F.lit("recipe is not whole of file "), F.coalesce(F.col("file_id").cast("string"), F.lit("null"))))
-    content = F.when(F.col("told") != F.size("parts"), differs).otherwise(content)
-    return listed.select("file_id", content.alias("content"), F.size("parts").alias("n_chunks"))
+    kind = dict(rows.dtypes)["file_id"]
+    sorted_rows = rows.repartition("file_id").sortWithinPartitions("file_id", F.col("pos").asc_nulls_first())
+    return sorted_rows.mapInArrow(_joined, f"file_id {kind}, content binary, n_chunks int")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files of rows sorted by file and place; each is joined once, when its last row has come."""
+    parts: list[bytes] = []
+    told: int | None = None
+    before, open_ = None, False
+
+    def whole() -> pa.RecordBatch:
+        if told is not None and told != len(parts):
+            raise ValueError(f"recipe is not whole of file {before}")
+        return pa.RecordBatch.from_arrays([pa.array([before], kind), pa.array([b"".join(parts)], pa.binary()), pa.array([len(parts)], pa.int32())], names=["file_id", "content", "n_chunks"])
+
+    for batch in batches:
+        kind = batch.schema.field("file_id").type
+        for file_id, data, count in zip(batch.column("file_id").to_pylist(), batch.column("data"), batch.column("told").to_pylist()):
+            if not open_ or file_id != before:
+                if open_:
+                    yield whole()
+                parts, told, before, open_ = [], None, file_id, True
+            if count is not None:
+                told = count + (told or 0)
+            elif data.is_valid:
+                parts.append(data.as_py())
+    if open_:
+        yield whole()
 
 
 def containers_of(wanted: DataFrame, store: DataFrame, must_exist: bool = True) -> DataFrame:
@@ -104,9 +130,11 @@ def message_bytes(rows: str, kind: str):
 def lru_hits(accesses: DataFrame, lane: str, key: str, order: tuple[str, ...], size: int) -> DataFrame:
     """Adds hit: whether a cache of the `size` last used keys would hold the key; each lane has its cache."""
 
-    def rows(groups: Iterator[tuple[tuple, pa.Table]]) -> Iterator[pa.Table]:
-        for _, table in groups:
-            cache: dict = {}
+    def rows(pieces: Iterator[tuple[tuple, bool, pa.Table]]) -> Iterator[pa.Table]:
+        cache: dict = {}
+        for _, new, table in pieces:
+            if new:
+                cache = {}
             hits = []
             for k in table[key].to_pylist():
                 hits.append(int(k in cache))
@@ -116,4 +144,46 @@ def lru_hits(accesses: DataFrame, lane: str, key: str, order: tuple[str, ...], s
                     del cache[next(iter(cache))]
             yield table.append_column("hit", pa.array(hits, pa.int32()))
 
-    return in_order(accesses, [lane], list(order), rows, accesses, "hit int")
+    return streamed(accesses, [lane], list(order), rows, accesses, "hit int")
+
+
+def container_cache(accesses: DataFrame, lane: str, order: tuple[str, ...], size: int, features: str | None = None) -> DataFrame:
+    """Adds hit and similar: what a cache of the metadata of the `size` last used containers finds.
+
+    accesses: (fp, container_id, fps of that container). A fingerprint that no cached container has brings its container in; the
+    one used longest ago goes, with all its fingerprints and features. features: a column of arrays; similar says whether a
+    container at hand has one of them (then `container_features` has those of the container brought in).
+    """
+
+    def rows(pieces: Iterator[tuple[tuple, bool, pa.Table]]) -> Iterator[pa.Table]:
+        held: dict = {}
+        where: dict[tuple, dict] = {}
+        for _, new, table in pieces:
+            if new:
+                held, where = {}, {}
+            hits, similar = [], []
+            asked = table[features].to_pylist() if features else [()] * table.num_rows
+            brought = table["container_features"].to_pylist() if features else [()] * table.num_rows
+            for fp, container, fps, wanted, more in zip(table["fp"].to_pylist(), table["container_id"].to_pylist(), table["fps"].to_pylist(), asked, brought):
+                near = next(iter(where.get((0, fp), ())), None)
+                similar.append(int(any((1, f) in where for f in wanted or ())))
+                hits.append(int(near is not None))
+                used = near if near is not None else container
+                if used in held:
+                    held[used] = held.pop(used)
+                    continue
+                if used is None:
+                    continue
+                keys = {(0, x) for x in fps or ()} | {(1, x) for x in more or ()}
+                held[used] = keys
+                for k in keys:
+                    where.setdefault(k, {})[used] = None
+                if len(held) > size:
+                    gone = next(iter(held))
+                    for k in held.pop(gone):
+                        del where[k][gone]
+                        if not where[k]:
+                            del where[k]
+            yield table.append_column("hit", pa.array(hits, pa.int32())).append_column("similar", pa.array(similar, pa.int32()))
+
+    return streamed(accesses, [lane], list(order), rows, accesses, "hit int, similar int")
