@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PACKED = "codec string, bytes binary"
+#: Before an LZ4 block: the length of what it holds.
+LENGTH = struct.Struct("<I")
 #: Bytes of a block that a delta may copy, at least.
 COPY = 16
 
 
 def compress(data: bytes, codec: str = "zstd") -> tuple[str, bytes]:
-    """The codec used and the bytes: raw if compression gains nothing."""
-    packed = zstandard.ZstdCompressor(level=1).compress(data) if codec == "zstd" else zlib.compress(data, 1)
+    """The codec used (zstd, zlib or lz4) and the bytes: raw if compression gains nothing."""
+    if codec not in ("zstd", "zlib", "lz4"):
+        raise ValueError(f"no codec is called {codec}")
+    if codec == "lz4":
+        packed = LENGTH.pack(len(data)) + pa.Codec("lz4_raw").compress(data, asbytes=True)
+    else:
+        packed = zstandard.ZstdCompressor(level=1).compress(data) if codec == "zstd" else zlib.compress(data, 1)
     return (codec, packed) if len(packed) < len(data) else ("raw", data)
 
 
 def decompress(codec: str, data: bytes) -> bytes:
     if codec == "raw":
         return data
+    if codec == "lz4":
+        return pa.Codec("lz4_raw").decompress(data[LENGTH.size :], decompressed_size=LENGTH.unpack_from(data)[0], asbytes=True)
     return zstandard.ZstdDecompressor().decompress(data) if codec == "zstd" else zlib.decompress(data)
 
 
@@ -44,6 +55,25 @@ def _read(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
+def _alike(a: bytes, i: int, b: bytes, j: int) -> int:
+    """How many bytes are equal from a[i] and b[j] on; whole slices are compared, then halves."""
+    most = min(len(a) - i, len(b) - j)
+    low, step = 0, 64
+    while low < most:
+        n = min(step, most - low)
+        if a[i + low : i + low + n] == b[j + low : j + low + n]:
+            low, step = low + n, step * 2
+            continue
+        while n > 1:
+            half = n // 2
+            if a[i + low : i + low + half] == b[j + low : j + low + half]:
+                low, n = low + half, n - half
+            else:
+                n = half
+        return low
+    return most
+
+
 def delta(base: bytes, target: bytes) -> bytes:
     """Copies from the base and inserted bytes that make the target.
 
@@ -61,8 +91,7 @@ def delta(base: bytes, target: bytes) -> bytes:
         while a > kept and b > 0 and target[a - 1] == base[b - 1]:
             a, b = a - 1, b - 1
         n = at - a + COPY
-        while b + n < len(base) and a + n < len(target) and base[b + n] == target[a + n]:
-            n += 1
+        n += _alike(base, b + n, target, a + n)
         if a > kept:
             out += _number(2 * (a - kept)) + target[kept:a]
         out += _number(2 * n + 1) + _number(b)

@@ -30,15 +30,18 @@ def representatives(chunks: DataFrame) -> DataFrame:
     return out.withColumn("segment_fp", fingerprint(written)).drop("__list")
 
 
+def binned(chunks: DataFrame) -> DataFrame:
+    """Adds min_fp, the bin of each chunk's segment."""
+    return chunks.join(representatives(chunks).select("file_id", "segment", "min_fp"), ["file_id", "segment"])
+
+
 def extreme_binning(chunks: DataFrame) -> DataFrame:
     """Adds is_unique: 1 if no earlier chunk, of a segment with the same min_fp, has the fingerprint.
 
     A bin holds what all earlier segments of its min_fp brought, so a repeated segment is all duplicates and any other is
     looked up chunk by chunk; a duplicate under another min_fp is missed. Bins don't touch, so this is one grouping.
     """
-    bins = representatives(chunks).select("file_id", "segment", "min_fp")
-    placed = chunks.join(bins, ["file_id", "segment"])
-    return first_occurrence(placed, ("file_id", "segment", "pos"), ("min_fp",)).withColumnRenamed("is_first", "is_unique")
+    return first_occurrence(binned(chunks), ("file_id", "segment", "pos"), ("min_fp",)).withColumnRenamed("is_first", "is_unique")
 
 
 def hooks(chunks: DataFrame, params: SparseParams = SparseParams()) -> DataFrame:

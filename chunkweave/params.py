@@ -69,6 +69,8 @@ class FrequencyParams:
 class SyncParams:
     chunks: ChunkParams = dataclasses.field(default_factory=ChunkParams)
     pack: PackParams = dataclasses.field(default_factory=PackParams)
+    segments: SegmentParams = dataclasses.field(default_factory=SegmentParams)
+    sparse: SparseParams = dataclasses.field(default_factory=SparseParams)
     batch: int = 128
     codec: str = "zstd"
     lanes: int = 64
@@ -83,7 +85,7 @@ def _built(kind, values: dict):
     fields = {f.name: f for f in dataclasses.fields(kind)}
     if unknown := set(values) - set(fields):
         raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")
-    nested = {"chunks": ChunkParams, "pack": PackParams}
+    nested = {"chunks": ChunkParams, "pack": PackParams, "segments": SegmentParams, "sparse": SparseParams}
     return kind(**{k: _built(nested[k], v) if isinstance(v, dict) else tuple(v) if isinstance(v, list) else v for k, v in values.items()})
 
 

@@ -6,6 +6,7 @@ bytes; the content-defined ones 256, 512 and 1024, as documents are small.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -308,9 +309,9 @@ def chunk_offsets(spark, sf_dir):
     return chunks(spark, sf_dir).select("file_id", "pos", dedup.before(F.col("size"), "file_id", "pos").alias("file_offset"))
 
 
-@query(f"WITH {CHUNKS} SELECT file_id, (pos // 1024)::INTEGER AS batch, count(*) AS n FROM c GROUP BY ALL")
+@query(f"WITH {CHUNKS} SELECT file_id, (pos // 16)::INTEGER AS batch, count(*) AS n FROM c GROUP BY ALL")
 def recipe_batches(spark, sf_dir):
-    return chunking.batches(chunks(spark, sf_dir), 1024).groupBy("file_id", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return chunking.batches(chunks(spark, sf_dir), 16).groupBy("file_id", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {CHUNKS} SELECT file_id, pos, coalesce(sum(size + 16) OVER (PARTITION BY file_id, pos // 15 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS container_offset FROM c")
@@ -332,7 +333,7 @@ def container_pack_seq(spark, sf_dir):
     return store.packed(chunks(spark, sf_dir), "source", ("file_id", "pos"), PACK).select("source", "file_id", "pos", "container", "container_offset")
 
 
-@query(f"WITH {FILES} SELECT file_id, sha256(content) AS content_fp, n::BIGINT AS file_size, ((n + {SIZE - 1}) // {SIZE})::INTEGER AS n_chunks FROM f WHERE n > 0")
+@query(f"WITH {FILES} SELECT file_id, sha256(content) AS content_fp, n::BIGINT AS file_size, ((n + {SIZE - 1}) // {SIZE})::INTEGER AS n_chunks FROM f")
 def restore_check(spark, sf_dir):
     every = files(spark, sf_dir)
     cut = chunking.fingerprinted(chunking.fixed_chunks(every, SIZE))
@@ -420,6 +421,67 @@ def _synchronised(spark, sf_dir) -> sync.Sync:
     return sync.synchronise(sync.upload(source, params, name="a").persisted(), sync.upload(target, params, name="b").persisted(), params)
 
 
+FIXED = SyncParams(chunks=ChunkParams(method="fixed", avg=SIZE), pack=PACK, segments=SegmentParams(min_bytes=0, max_bytes=1 << 40, max_chunks=SEGMENT_CHUNKS, divisor=1, pattern=1))
+STORED = "count(*) AS stored_chunks, coalesce(sum(size), 0)::BIGINT AS stored_bytes"
+
+
+def _stored(cloud: sync.Cloud) -> DataFrame:
+    return cloud.stored().agg(F.count(F.lit(1)).alias("stored_chunks"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("stored_bytes"))
+
+
+@query(f"""WITH {CLOUDS}, a AS (SELECT fp, max(size) AS size FROM src GROUP BY fp), b AS (SELECT fp, max(size) AS size FROM c GROUP BY fp)
+SELECT 1 AS upload, (SELECT count(*) FROM src) AS logical_chunks, {STORED} FROM a UNION ALL SELECT 2, (SELECT count(*) FROM c) + 0, {STORED} FROM b UNION ALL SELECT 3, (SELECT count(*) FROM c) + (SELECT count(*) FROM src), {STORED} FROM b""")
+def upload_twice(spark, sf_dir):
+    """Three uploads into one store: the source's files, the target's, and the source's again under other ids, which store nothing."""
+    source, target = two_clouds(files(spark, sf_dir))
+    clouds = [sync.upload(source, FIXED, name="a").persisted()]
+    clouds.append(sync.upload(target, FIXED, name="b", into=clouds[0]).persisted())
+    clouds.append(sync.upload(source.withColumn("file_id", F.col("file_id") + (1 << 40)), FIXED, name="c", into=clouds[1]))
+    out = [c.recipes.agg(F.count(F.lit(1)).alias("logical_chunks")).crossJoin(_stored(c)).select(F.lit(k).alias("upload"), "*") for k, c in enumerate(clouds, 1)]  # one row each
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+BINNED = f"""{SEGMENTS}, m AS (SELECT file_id, segment, arg_min(fp, ({BYTE_SUM}) * 100000 + pos) AS min_fp FROM s GROUP BY file_id, segment),
+x AS (SELECT s.*, min_fp, row_number() OVER (PARTITION BY min_fp, fp ORDER BY s.file_id, s.segment, pos) AS k FROM s JOIN m ON m.file_id = s.file_id AND m.segment = s.segment)"""
+
+
+@query(f"WITH {BINNED} SELECT {STORED} FROM x WHERE k = 1")
+def upload_mode_2(spark, sf_dir):
+    """Stored copies of an upload by Extreme Binning; a chunk may be stored under several bins."""
+    return _stored(sync.upload(files(spark, sf_dir), FIXED, mode=2))
+
+
+@query(f"""WITH {BINNED}, a AS (SELECT DISTINCT min_fp, fp FROM x WHERE file_id % 2 = 0),
+y AS (SELECT x.*, row_number() OVER (PARTITION BY x.min_fp, x.fp ORDER BY file_id, segment, pos) AS j FROM x LEFT JOIN a ON a.min_fp = x.min_fp AND a.fp = x.fp WHERE file_id % 2 != 0 AND a.fp IS NULL),
+z AS (SELECT size FROM (SELECT *, row_number() OVER (PARTITION BY min_fp, fp ORDER BY file_id, segment, pos) AS i FROM x WHERE file_id % 2 = 0) WHERE i = 1 UNION ALL SELECT size FROM y WHERE j = 1)
+SELECT {STORED} FROM z""")
+def upload_mode_2_again(spark, sf_dir):
+    """The same in two uploads, the second going on from the first one's bins."""
+    source, target = two_clouds(files(spark, sf_dir))
+    first = sync.upload(source, FIXED, name="a", mode=2).persisted()
+    return _stored(sync.upload(target, FIXED, name="b", into=first, mode=2))
+
+
+@query()
+def upload_mode_3(spark, sf_dir):
+    """Stored copies of an upload by Sparse Indexing, whose streams are the sources."""
+    return _stored(sync.upload(files(spark, sf_dir), FIXED, mode=3))
+
+
+@query(f"WITH {CHUNKS}, b AS (SELECT fp, max(size) AS size FROM c GROUP BY fp) SELECT {STORED} FROM b")
+def upload_mode_4(spark, sf_dir):
+    return _stored(sync.upload(files(spark, sf_dir), FIXED, mode=4))
+
+
+@query(f"WITH {FILES} SELECT file_id, sha256(content) AS content_fp FROM f")
+def restore_sealed(spark, sf_dir):
+    """Files restored from chunks that were compressed with LZ4 and encrypted, and from near-exact copies."""
+    cloud = sync.upload(files(spark, sf_dir), FIXED, mode=2)
+    key = F.lit("0123456789abcdef0123456789abcdef")
+    kept = dataclasses.replace(cloud, data=sync.opened(sync.sealed(cloud.data, "lz4", key), key))
+    return sync.restore(kept).select("file_id", F.sha2("content", 256).alias("content_fp"))
+
+
 @query()
 def delta_sizes(spark, sf_dir):
     sent = _synchronised(spark, sf_dir).payload
@@ -431,7 +493,7 @@ def sync_statistics(spark, sf_dir):
     return sync.statistics(_synchronised(spark, sf_dir))
 
 
-@query(f"WITH {FILES} SELECT file_id, sha256(content) AS content_fp FROM f WHERE n > 0")
+@query(f"WITH {FILES} SELECT file_id, sha256(content) AS content_fp FROM f")
 def sync_e2e(spark, sf_dir):
     """Files restored from the target after synchronisation: its own and the source's."""
     return sync.restore(_synchronised(spark, sf_dir).target.persisted()).select("file_id", F.sha2("content", 256).alias("content_fp"))
@@ -482,17 +544,11 @@ def synthetic_ratio(spark, sf_dir):
     return cut.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("plain_bytes"), F.sum(F.octet_length("c.bytes")).alias("stored_bytes"))
 
 
-@query(f"WITH {FILES} SELECT file_id, ((n + 4095) // 4096)::BIGINT AS blocks, lpad(CASE WHEN file_id < 10 THEN file_id::VARCHAR ELSE '' END, 8, '0') AS short_id FROM f WHERE file_id < 10")
-def ordinal_ids(spark, sf_dir):
-    return files(spark, sf_dir).where("file_id < 10").select("file_id", div_ceil(F.col("file_size"), 4096).alias("blocks"), ordinal_id(F.col("file_id")).alias("short_id"))
-
-
 BASE36 = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', 1 + (file_id // {36**k}) % 36, 1)" for k in range(7, -1, -1))
 
 
 @query(f"WITH {FILES} SELECT file_id, ((n + 4095) // 4096)::BIGINT AS blocks, {BASE36} AS short_id FROM f")
-def ordinal_ids_all(spark, sf_dir):
-    """Of all documents; ordinal_ids has those of one digit only."""
+def ordinal_ids(spark, sf_dir):
     return files(spark, sf_dir).select("file_id", div_ceil(F.col("file_size"), 4096).alias("blocks"), ordinal_id(F.col("file_id")).alias("short_id"))
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 import dataclasses
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkweave.functions.codecs import compressed, decompressed
 from chunkweave.functions.features import features
-from chunkweave.operators import chunking, delta, dedup, similarity, store
+from chunkweave.functions.hashing import decrypt, encrypt
+from chunkweave.operators import chunking, dedup, delta, segments, similarity, store
 from chunkweave.params import SyncParams
 
 
@@ -25,10 +27,17 @@ class Cloud:
     meta: DataFrame
     data: DataFrame
     files: DataFrame
+    #: Near-exact modes may store a chunk more than once: all stored copies (fp, size, container_id, offset). None: those of meta.
+    copies: DataFrame | None = None
+    #: Extreme Binning's state: the fingerprints (fp) that each bin (min_fp) has seen.
+    bins: DataFrame | None = None
+
+    def stored(self) -> DataFrame:
+        return self.meta.select("fp", "size", "container_id", "offset") if self.copies is None else self.copies
 
     def persisted(self) -> Cloud:
         """The same tables, each computed once; a cloud that lasts is written and read instead."""
-        return Cloud(*(getattr(self, f.name).persist(StorageLevel.MEMORY_AND_DISK) for f in dataclasses.fields(self)))
+        return Cloud(*(t if t is None else t.persist(StorageLevel.MEMORY_AND_DISK) for t in (getattr(self, f.name) for f in dataclasses.fields(self))))
 
 
 def _placed(unique: DataFrame, name: str, params: SyncParams) -> DataFrame:
@@ -38,14 +47,75 @@ def _placed(unique: DataFrame, name: str, params: SyncParams) -> DataFrame:
     return placed.select("fp", "size", "container_id", F.col("container_offset").alias("offset"))
 
 
-def upload(files: DataFrame, params: SyncParams, kind: str = "sha256", name: str = "up") -> Cloud:
-    """Chunks, fingerprints, dedup, features, packing. name: what the containers' ids start with."""
+#: Which chunks of an upload are stored: by an index of all fingerprints, outside or inside (0, 1), by Extreme Binning (2), by Sparse
+#: Indexing (3), or by the frequency index (4), which stores what the full index does.
+MODES = ("out_enclave", "in_enclave", "extreme_binning", "sparse", "frequency")
+
+
+def upload(files: DataFrame, params: SyncParams, kind: str = "sha256", name: str = "up", into: Cloud | None = None, mode: int = 0) -> Cloud:
+    """Chunks, fingerprints, dedup by the mode, features, packing. name: what the containers' ids start with.
+
+    into: a cloud that the files are added to; what it holds is not stored again, and its tables are part of the result. A file
+    id that it has already is an error when files are read. Uploads into one cloud need names of their own. Mode 3 keeps its
+    index in the tasks that go through a stream (`source`), so it can't go on from a cloud.
+    """
     chunks = chunking.fingerprinted(chunking.chunk(files, params.chunks), kind)
     recipes = chunks.select("file_id", "pos", "fp", "size")
-    unique = recipes.groupBy("fp").agg(F.min(F.struct("file_id", "pos", "size")).alias("v")).select("fp", "v.*")
+    new, bins = recipes, None
+    if MODES[mode] == "extreme_binning":
+        binned = segments.binned(chunking.segment(recipes, params.segments))
+        if into is not None and into.bins is not None:
+            seen = binned.join(into.bins, ["min_fp", "fp"], "left_anti")
+            bins = binned.select("min_fp", "fp").unionByName(into.bins).distinct()
+        else:
+            seen, bins = binned, binned.select("min_fp", "fp").distinct()
+        new = dedup.first_occurrence(seen, ("file_id", "segment", "pos"), ("min_fp",)).where("is_first = 1").select("file_id", "pos", "fp", "size")
+    elif MODES[mode] == "sparse":
+        if into is not None:
+            raise ValueError("mode 3 can't go on from a cloud")
+        laned = chunks.select("source", "file_id", "pos", "fp", "size")
+        new = segments.sparse_indexing(chunking.segment(laned, params.segments), "source", params.sparse).where("is_unique = 1").select("file_id", "pos", "fp", "size")
+    elif into is not None:
+        new = dedup.missing(recipes, into.meta)
+    near = MODES[mode] in ("extreme_binning", "sparse")
+    if near:
+        copies = _placed(new, name, params)
+        first = copies.groupBy("fp").agg(F.min(F.struct("container_id", "offset", "size")).alias("v")).select("fp", "v.size", "v.container_id", "v.offset")
+        if into is not None:
+            first = first.join(into.meta.select("fp"), "fp", "left_anti")
+            copies = copies.unionByName(into.stored())
+        held = recipes.join(first.select("fp"), "fp", "left_semi")
+        unique = held.groupBy("fp").agg(F.min(F.struct("file_id", "pos")).alias("v")).select("fp", "v.*")
+    else:
+        copies = None
+        unique = new.groupBy("fp").agg(F.min(F.struct("file_id", "pos", "size")).alias("v")).select("fp", "v.*")
+        first = _placed(unique, name, params)
     data = unique.select("fp", "file_id", "pos").join(chunks.select("file_id", "pos", "data"), ["file_id", "pos"]).select("fp", "data")
-    meta = _placed(unique, name, params)
-    return Cloud(recipes, meta.join(data.select("fp", features(F.col("data")).alias("features")), "fp"), data, store.file_heads(files, recipes))
+    meta = first.join(data.select("fp", features(F.col("data")).alias("features")), "fp")
+    heads = store.file_heads(files, recipes)
+    if into is None:
+        return Cloud(recipes, meta, data, heads, copies, bins)
+    return Cloud(into.recipes.unionByName(recipes), into.meta.unionByName(meta), into.data.unionByName(data), into.files.unionByName(heads), copies, bins)
+
+
+def totals(cloud: Cloud, codec: str = "zstd") -> DataFrame:
+    """Logical, stored and compressed bytes and chunks of a cloud, one row; each stored copy is compressed by itself."""
+    logical = cloud.recipes.agg(F.count(F.lit(1)).alias("logical_chunks"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("logical_bytes"))
+    packed = cloud.data.select("fp", F.octet_length(compressed(F.col("data"), codec)["bytes"]).alias("packed"))
+    stored = cloud.stored().join(packed, "fp").agg(F.count(F.lit(1)).alias("stored_chunks"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("stored_bytes"), F.coalesce(F.sum("packed"), F.lit(0)).cast("long").alias("compressed_bytes"))
+    return logical.crossJoin(stored)  # one row each
+
+
+def sealed(data: DataFrame, codec: str = "zstd", key: Column | None = None, cipher: str = "GCM") -> DataFrame:
+    """(fp, codec, bytes) of chunks (fp, data) as they are stored: compressed, and encrypted if there is a key."""
+    packed = data.select("fp", compressed(F.col("data"), codec).alias("v")).select("fp", "v.codec", "v.bytes")
+    return packed if key is None else packed.withColumn("bytes", encrypt(F.col("bytes"), key, cipher))
+
+
+def opened(stored: DataFrame, key: Column | None = None, cipher: str = "GCM") -> DataFrame:
+    """(fp, data) of what sealed() made."""
+    packed = stored if key is None else stored.withColumn("bytes", decrypt(F.col("bytes"), key, cipher))
+    return packed.select("fp", decompressed(F.col("codec"), F.col("bytes")).alias("data"))
 
 
 def restore(cloud: Cloud) -> DataFrame:
@@ -99,9 +169,16 @@ def traffic(sync: Sync) -> DataFrame:
 
 
 def statistics(sync: Sync) -> DataFrame:
-    """(metric, value): chunks and bytes by tag and payload kind, and those that were there."""
+    """(metric, value): chunks and bytes by tag and payload kind, those that were there, and bytes received and written."""
     tags = sync.tagged.groupBy(F.concat(F.lit("tag:"), F.col("tag")).alias("metric")).agg(F.count(F.lit(1)).cast("long").alias("value"))
     kinds = sync.payload.groupBy(F.concat(F.lit("bytes:"), F.col("kind")).alias("metric")).agg(F.sum("size").cast("long").alias("value"))
     total = sync.requested.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit("requested").alias("metric"), "value")
     gone = sync.missing.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit("missing").alias("metric"), "value")
-    return tags.unionByName(kinds).unionByName(total).unionByName(gone)
+    there = sync.requested.select("fp").distinct().join(sync.missing.select("fp"), "fp", "left_anti").agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit("present").alias("metric"), "value")
+    sums = sync.payload.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("value")).select(F.lit("received_bytes").alias("metric"), "value")
+    written = sync.missing.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("value")).select(F.lit("written_bytes").alias("metric"), "value")
+    similar = sync.tagged.groupBy(F.concat(F.lit("plain_bytes:"), F.col("tag")).alias("metric")).agg(F.sum("size").cast("long").alias("value"))
+    out = tags
+    for more in (kinds, total, gone, there, sums, written, similar):
+        out = out.unionByName(more)
+    return out

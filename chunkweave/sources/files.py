@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.functions.hashing import name_key
+from chunkweave.functions.hashing import decrypt, encrypt, name_key
 
 FILES = ["file_id", "source", "content", "file_size"]
 
@@ -17,13 +19,23 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+#: Longest name of a file that a client may send, as in the stored formats.
+NAME_BYTES = 255
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Regular files as (file_id, source, modified, content, file_size); a file's id is a hash of its path.
 
-    Spark's reader leaves out files without bytes.
+    Files without bytes are there too: Spark's reader leaves them out, so they are found by name. A file whose name has more than
+    NAME_BYTES bytes is an error.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return found.select(F.xxhash64("path").alias("file_id"), F.col("path").alias("source"), F.col("modificationTime").alias("modified"), "content", F.col("length").alias("file_size"))
+    rows = found.select("path", F.col("modificationTime").alias("modified"), "content", F.col("length").alias("file_size"))
+    named = spark.createDataFrame([(unquote(n.replace("file:///", "file:/", 1)),) for n in found.inputFiles()], "path string")
+    empty = named.join(found.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modified"), F.lit(b"").alias("content"), F.lit(0).cast("long").alias("file_size"))
+    long = F.octet_length(F.substring_index("path", "/", -1)) > NAME_BYTES
+    checked = F.when(long, F.raise_error(F.concat(F.lit("name is too long: "), F.col("path")))).otherwise(F.col("path"))
+    return rows.unionByName(empty).select(F.xxhash64("path").alias("file_id"), checked.alias("source"), "modified", "content", "file_size")
 
 
 def scan_directory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -37,12 +49,21 @@ def files_of(documents: DataFrame, *keep: str) -> DataFrame:
     return documents.select(F.col("doc_id").alias("file_id"), "source", *keep, content.alias("content")).withColumn("file_size", F.octet_length("content").cast("long"))
 
 
+def _line(fp_bytes: int) -> str:
+    return rf"^\s*((?:[0-9a-fA-F]{{2}}:){{{fp_bytes - 1}}}[0-9a-fA-F]{{2}})\s+(\d{{1,18}})"
+
+
+def malformed(lines: DataFrame, fp_bytes: int, column: str = "value") -> DataFrame:
+    """The lines of a trace that parse_trace() leaves out, nulls and empty ones too."""
+    return lines.where(~F.coalesce(F.col(column), F.lit("")).rlike(_line(fp_bytes)))
+
+
 def parse_trace(lines: DataFrame, fp_bytes: int, largest: int, column: str = "value") -> DataFrame:
     """(fp, size) of trace lines: `fp_bytes` hex bytes with colons, white space, size. Sizes over the largest are cut to it.
 
-    Lines of another form are left out.
+    Lines of another form are left out; malformed() has them.
     """
-    pattern = rf"^\s*((?:[0-9a-fA-F]{{2}}:){{{fp_bytes - 1}}}[0-9a-fA-F]{{2}})\s+(\d{{1,18}})"
+    pattern = _line(fp_bytes)
     fp = F.lower(F.replace(F.regexp_extract(column, pattern, 1), F.lit(":"), F.lit("")))
     size = F.regexp_extract(column, pattern, 2)
     return lines.where(F.col(column).rlike(pattern)).withColumns({"fp": fp, "size": F.least(size.cast("long"), F.lit(largest)).cast("int")}).drop(column)
@@ -73,19 +94,31 @@ def with_candidates(trace: DataFrame, candidates: DataFrame, ratio: str = "ratio
     return trace.withColumn("bucket", bucket).join(F.broadcast(few), "bucket", "left").drop("bucket")
 
 
+#: Of synthetic data: lengths of literal runs and matches, and the exponents of their power distributions and of literal bytes.
+LEAST_MATCH, MOST_MATCH, LENGTH_POWER, LITERAL_POWER = 3, 34, 3.0, 3.0
+
+
+def _compressible(r: np.random.Generator, n: int, ratio: float) -> bytes:
+    """n bytes of literals and matches. A match repeats the run of bytes made last; matches come as often as the ratio asks."""
+    out, last = bytearray(), b""
+    while len(out) < n:
+        length = LEAST_MATCH + int((MOST_MATCH - LEAST_MATCH + 1) * r.random() ** LENGTH_POWER)
+        if last and r.random() >= 1 / ratio:
+            out += (last * (length // len(last) + 1))[:length]
+        else:
+            last = (256 * r.random(length) ** LITERAL_POWER).astype(np.uint8).tobytes()
+            out += last
+    return bytes(out[:n])
+
+
 def synthetic(spark: SparkSession, n_bytes: int, ratio: float = 2.0, seed: int = 1, block: int = 16384) -> DataFrame:
-    """(file_id, source, content, file_size) in blocks of bytes that compress by about the ratio; the same for a seed."""
+    """(file_id, source, content, file_size) in blocks of literals and matches that compress by about the ratio; the same for a seed."""
 
     def fill(batches):
         for batch in batches:
             import pyarrow as pa
 
-            out = []
-            for i, n in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist()):
-                r = np.random.default_rng((seed, i))
-                fresh = max(1, round(n / ratio))
-                pool = r.integers(0, 256, fresh, dtype=np.uint8).tobytes()
-                out.append((pool * (n // fresh + 1))[:n])
+            out = [_compressible(np.random.default_rng((seed, i)), n, ratio) for i, n in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "content"])
 
     blocks = spark.range(-(-n_bytes // block)).withColumn("n", F.least(F.lit(block), F.lit(n_bytes) - F.col("id") * block).cast("int"))
@@ -93,14 +126,44 @@ def synthetic(spark: SparkSession, n_bytes: int, ratio: float = 2.0, seed: int =
     return made.select(F.col("id").alias("file_id"), F.lit("synthetic").alias("source"), "content", F.octet_length("content").cast("long").alias("file_size"))
 
 
+#: Folders of a table of recipes or containers; which one a row is in follows from its id.
+BUCKETS = 256
+
+
+def _bucket(key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _write_bucketed(rows: DataFrame, key: str, order: str, path: str) -> None:
+    """A fixed number of folders, sorted inside, so that one id's rows are found by folder and by the files' statistics."""
+    placed = rows.withColumn("bucket", _bucket(key))
+    placed.repartition("bucket").sortWithinPartitions("bucket", key, order).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def sealed_recipes(recipes: DataFrame, key: Column, mode: str = "GCM") -> DataFrame:
+    """(file_id, pos, entry): what a recipe says of each chunk, encrypted."""
+    rest = [c for c in recipes.columns if c not in ("file_id", "pos")]
+    return recipes.select("file_id", "pos", encrypt(F.to_json(F.struct(*rest)).cast("binary"), key, mode).alias("entry"))
+
+
+def opened_recipes(sealed: DataFrame, key: Column, schema: str, mode: str = "GCM") -> DataFrame:
+    """The recipes again; schema: that of the columns that were encrypted."""
+    return sealed.select("file_id", "pos", F.from_json(decrypt(F.col("entry"), key, mode).cast("string"), schema).alias("v")).select("file_id", "pos", "v.*")
+
+
 def write_recipes(recipes: DataFrame, path: str) -> None:
-    """Recipes in folders by file id, so that one file's is read without the others."""
-    recipes.repartition("file_id").sortWithinPartitions("file_id", "pos").write.mode("append").partitionBy("file_id").parquet(path)
+    """Recipes in folders by a hash of the file id."""
+    _write_bucketed(recipes, "file_id", "pos", path)
 
 
 def read_recipes(spark: SparkSession, path: str, *file_ids: int) -> DataFrame:
+    """All recipes, or those of some files; then other folders are not read."""
     found = spark.read.parquet(path)
-    return found.where(F.col("file_id").isin(*file_ids)) if file_ids else found
+    if file_ids:
+        kind = found.schema["file_id"].dataType
+        buckets = {r[0] for r in spark.createDataFrame([(i,) for i in file_ids], f"file_id {kind.simpleString()}").select(_bucket("file_id")).collect()}
+        found = found.where(F.col("bucket").isin(*buckets) & F.col("file_id").isin(*file_ids))
+    return found.drop("bucket")
 
 
 def find_recipe(recipes: DataFrame, name: str, client: str) -> DataFrame:
@@ -109,12 +172,17 @@ def find_recipe(recipes: DataFrame, name: str, client: str) -> DataFrame:
 
 
 def write_containers(chunks: DataFrame, path: str) -> None:
-    """Chunk rows (container_id, offset, fp, size, data, features) in folders by container."""
-    chunks.repartition("container_id").sortWithinPartitions("container_id", "offset").write.mode("append").partitionBy("container_id").parquet(path)
+    """Chunk rows (container_id, offset, fp, size, data, features) in folders by a hash of the container."""
+    _write_bucketed(chunks, "container_id", "offset", path)
 
 
-def read_containers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_containers(spark: SparkSession, path: str, *container_ids: str) -> DataFrame:
+    """All containers, or some; then other folders are not read."""
+    found = spark.read.parquet(path)
+    if container_ids:
+        buckets = {r[0] for r in spark.createDataFrame([(i,) for i in container_ids], "container_id string").select(_bucket("container_id")).collect()}
+        found = found.where(F.col("bucket").isin(*buckets) & F.col("container_id").isin(*container_ids))
+    return found.drop("bucket")
 
 
 def save_state(table: DataFrame, path: str) -> None:
@@ -135,6 +203,16 @@ CLIENT_LOG = "input string, opt string, logical_bytes long, chunks long, seconds
 SERVER_LOG = "logical_bytes long, chunks long, unique_bytes long, unique_chunks long, compressed_bytes long, seconds double, mib_per_second double"
 
 
+DEST_LOG = (
+    "enclave_duplicates long, enclave_unique long, global_duplicates long, global_unique long, enclave_similar long, batch_similar long, non_similar long, recv_bytes long, write_bytes long, only_comp_bytes long, "
+    "comp_delta_bytes long, uncomp_delta_bytes long, uncomp_similar_bytes long, comp_similar_bytes long, phase2_seconds double, phase4_seconds double, phase6_seconds double, total_seconds double"
+)
+SRC_LOG = (
+    "file string, chunk_bytes long, chunks long, unique_bytes long, unique_chunks long, similar_bytes long, similar_chunks long, base_bytes long, delta_bytes long, comp_delta_bytes long, "
+    "phase1_seconds double, phase3_seconds double, phase5_seconds double"
+)
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").csv(path)
 

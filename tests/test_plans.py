@@ -1,6 +1,8 @@
 """Upload, restore, synchronisation, streams, sources, and every named query."""
 
+import builtins
 import importlib
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,14 +29,14 @@ def contents(df):
 
 def test_upload_restores(clouds):
     documents, a, _ = clouds
-    assert contents(sync.restore(a)) == contents(documents.where("file_id % 2 = 0").where("file_size > 0"))
+    assert contents(sync.restore(a)) == contents(documents.where("file_id % 2 = 0"))
     assert a.meta.groupBy("fp").count().where("count > 1").isEmpty()
 
 
 def test_synchronise(clouds):
     documents, a, b = clouds
     done = sync.synchronise(a, b, PARAMS)
-    assert contents(sync.restore(done.target.persisted())) == contents(documents.where("file_size > 0"))
+    assert contents(sync.restore(done.target.persisted())) == contents(documents)
     lacking = {r.fp for r in a.meta.collect()} - {r.fp for r in b.meta.collect()}
     assert {r.fp for r in done.payload.collect()} == lacking
     whole = {r.fp for r in done.payload.where("kind = 'COMP_ONLY'").collect()} | {r.fp for r in b.meta.collect()}
@@ -126,9 +128,20 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_library_works_without_the_pipeline(monkeypatch):
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("chunkweave.llm", "corpus_pipeline") else real(name, *a))
+@pytest.mark.parametrize("how", ["absent", "broken"])
+def test_library_works_without_the_pipeline(monkeypatch, how):
+    names = [n for n in sys.modules if n.startswith("chunkweave.llm") or n == "corpus_pipeline"]
+    for n in names:
+        monkeypatch.delitem(sys.modules, n)
+    real = builtins.__import__
+    at = "chunkweave.llm" if how == "absent" else "public_tokenizers"
+
+    def without(name, globals=None, locals=None, fromlist=(), level=0):
+        if name.startswith(at) or name == "corpus_pipeline":
+            raise ImportError(name)
+        return real(name, globals, locals, fromlist, level)
+
+    monkeypatch.setattr(builtins, "__import__", without)
     try:
         bare = importlib.reload(__spark_entry__)
         assert set(bare.queries()) == set(catalog.QUERIES) and set(bare.oracle_sql()) == set(catalog.SQL)
