@@ -23,6 +23,8 @@ from chunkweave.llm.vectors import unit, usable
 
 #: Vectors of a list that meet in one task as a block; pairs that are looked at in one step; classes that a task remembers.
 BLOCK, STEP, CLASSES_HELD = 512, 500_000, 50_000
+#: Long lists that are broadcast at most, a row of some 50 bytes each.
+MOST_BROADCAST = 20_000
 
 CLASSES = "id long, first_id long, label string, size int, vector binary, bits binary, keys array<long>, copies long"
 _CLASSES = pa.schema([("id", pa.int64()), ("first_id", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("vector", pa.binary()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64())), ("copies", pa.int64())])
@@ -212,7 +214,7 @@ def _once(table: pa.Table) -> pa.Table:
     return summed.select(table.column_names).sort_by([(c, "ascending") for c in ("label", "key", "low", "high")])
 
 
-def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, pivots: int = 128, nearest: int = 8, shared: int = 3) -> DataFrame:
+def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, pivots: int = 128, nearest: int = 7, shared: int = 3) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept. Links: equal labels and a cosine of at least `least`.
 
     The pivots are a sample of at most `pivots` usable vectors of different directions, the first by a hash of vec_id; every
@@ -235,8 +237,11 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     described = checkpointed(rows.mapInArrow(_described(chosen, nearest, shared, kind), CLASSES))
     classes = described.where("first_id is null")
     posted = classes.withColumn("key", F.explode("keys")).drop("keys")
-    lists = posted.groupBy("label", "size", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    dealt = posted.join(lists, ["label", "size", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    long = checkpointed(posted.groupBy("label", "size", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("label", "size", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    if long.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        long = F.broadcast(long)  # else the postings are shuffled once more
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = posted.join(long, ["label", "size", "key"], "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keys = ["label", "size", "key", "low", "high"]
     dealt = dealt.select("label", "size", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "copies", "vector", "bits")
     # The dealing includes the blocks, so the pairs of blocks of a long list go to different tasks.
