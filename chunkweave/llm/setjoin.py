@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.llm.components import components
@@ -122,7 +122,7 @@ def part_keys(members: np.ndarray, measure: Measure, classes: list[tuple[int, in
     return np.concatenate(found)
 
 
-SETS = "id long, n long, first_id long, keys array<long>, bytes long"
+SETS = "id long, n long, first_id long, keys array<long>, near array<long>, bytes long"
 
 
 def _counted(n: int) -> Callable:
@@ -160,7 +160,10 @@ def common_members(texts: DataFrame, n: int, share: float = 0.0005, most: int =
 
 
 def _sets(n: int, measure: Measure, common: np.ndarray | None = None) -> Callable:
-    """Per document its set's size and keys. Of equal sets in one task, the later ones name the first instead."""
+    """Per document its set's size and keys. Of equal sets in one task, the later ones name the first instead.
+
+    A key goes out once a slice: other sets of the slice that have it name its first one as near.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -178,13 +181,24 @@ def _sets(n: int, measure: Measure, common: np.ndarray | None = None) -> Callabl
                     if len(members) >= classes[-1][0]:
                         classes = measure.classes(2 * len(members))
                     keys.append(part_keys(members, measure, classes, common).view(np.int64) if mark and i is not None and first[-1] == i else np.empty(0, np.int64))
-                offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), lists, pa.array(lengths, pa.int64())], names=["id", "n", "first_id", "keys", "bytes"])
+                every, own = np.concatenate([np.empty(0, np.int64), *keys]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                _, at, inverse = np.unique(every, return_index=True, return_inverse=True)
+                fresh = np.zeros(len(every), bool)
+                fresh[at] = True
+                pairs = np.unique(np.stack([own[~fresh], own[at][inverse][~fresh]], axis=1), axis=0)
+                known = np.array([-1 if i is None else i for i in ids], np.int64)
+                lists = _lists(every[fresh], own[fresh], len(ids))
+                near = _lists(known[pairs[:, 1]], pairs[:, 0], len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), lists, near, pa.array(lengths, pa.int64())], names=["id", "n", "first_id", "keys", "near", "bytes"])
 
     return task
 
 
+def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
+    """Values, sorted by row, as a list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), pa.array(values))
+
+
 class Family:
     """The sets of a family in order of size, and their exact overlaps."""
 
@@ -319,12 +333,12 @@ def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     common = common_members(texts, n) if 10 * num < 9 * den else None  # parts are small then, and passages would match
     sets = checkpointed(texts.mapInArrow(_sets(n, measure, common), SETS))
     listed = sets.where("id = first_id").select("id", F.explode("keys").alias("key"))
-    # Tables of their own, so that the joins are of two plain shuffles and adaptive execution can split a hot key or family.
-    shared = checkpointed(listed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("least")).where("k > 1").select("key", "least"))
-    families = components(listed.join(shared, "key").select("id", "least"), "id", "least")
+    by_key = Window.partitionBy("key")  # a key has a row a slice at most, and goes through the shuffle once
+    pairs = listed.withColumn("k", F.count(F.lit(1)).over(by_key)).withColumn("least", F.min("id").over(by_key)).where("k > 1").select("id", "least")
+    families = components(pairs.unionByName(sets.select("id", F.explode("near").alias("least"))), "id", "least")
     classes = sets.where("n > 0").groupBy("first_id").agg(F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes"), F.max("n").alias("n"))
     members = families.join(classes, F.col("node") == F.col("first_id")).select(F.col("component").alias("family"), F.col("node").alias("id"), "copies", "bytes", F.floor(F.log("n") / F.lit(measure.band)).cast("int").alias("band"))
-    members = checkpointed(members)
+    members = checkpointed(members)  # a table of its own, so that adaptive execution can split a hot family below
     large = members.groupBy("family").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).select("family")
     blocks = members.join(large, "family").groupBy("family", "band").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     large = checkpointed(blocks.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("of_band")))  # some hundred bands at most
