@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.llm.components import components
-from chunkweave.llm.frames import batches_by_weight, checkpointed, grouped_tables
+from chunkweave.llm.frames import batches_by_weight, checkpointed, grouped_tables, trimmed
 from chunkweave.llm.words import HALF, mixed, names_of, pair_names, span_names, words_of
 
 #: Bytes of text that a task hashes at a time, and that meet in one task as a block of a family.
-SLICE_BYTES, BLOCK_BYTES = 2_000_000, 6_000_000
+SLICE_BYTES, BLOCK_BYTES = 2_000_000, 3_000_000
 #: Bytes of text whose shingles are counted together.
 COUNT_BYTES = 8_000_000
 RESCUES = 3
@@ -154,7 +154,7 @@ def common_members(texts: DataFrame, n: int, share: float = 0.0005, most: int =
 
     Which members these are changes the order of the work, never the result.
     """
-    counted = texts.select("text").mapInArrow(_counted(n), "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(trimmed(_counted(n)), "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= max(8, int(share * texts.count()))).orderBy(F.desc("n"), "member").limit(most).select("member").toArrow()
     return np.sort(rows["member"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -331,7 +331,7 @@ def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     measure = Measure(num, den)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     common = common_members(texts, n) if 10 * num < 9 * den else None  # parts are small then, and passages would match
-    sets = checkpointed(texts.mapInArrow(_sets(n, measure, common), SETS))
+    sets = checkpointed(texts.mapInArrow(trimmed(_sets(n, measure, common)), SETS))
     listed = sets.where("id = first_id").select("id", F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")  # a key has a row a slice at most, and goes through the shuffle once
     pairs = listed.withColumn("k", F.count(F.lit(1)).over(by_key)).withColumn("least", F.min("id").over(by_key)).where("k > 1").select("id", "least")
@@ -349,7 +349,7 @@ def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     dealt = dealt.select("id", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "copies")
     keys = ["family", "low", "high"]
     grouped = texts.where("text is not null").join(dealt, "id").select(*keys, "block", "id", "copies", "text").repartition(*keys).sortWithinPartitions(*keys)
-    found = checkpointed(grouped.mapInArrow(_joined(n, measure), LINKS))
+    found = checkpointed(grouped.mapInArrow(trimmed(_joined(n, measure)), LINKS))
     same = sets.where("id != first_id").select("id", F.col("first_id").alias("root"))
     component = components(found.select("id", "root").unionByName(same), "id", "root")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

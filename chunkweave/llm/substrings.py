@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkweave.llm.frames import REST, checkpointed, grouped_tables, with_rest
+from chunkweave.llm.frames import REST, checkpointed, grouped_tables, trimmed, with_rest
 from chunkweave.llm.words import mixed, names_of, pair_names, span_names, words_of
 
 LEVEL, CHAIN = 2, 3
@@ -377,13 +377,13 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = packed.where("id is not null").withColumn("key", F.xxhash64("id", "text"))
     texts = placed.select("id", "key", "text")
     # A table of its own, so that the join below is of two plain shuffles and adaptive execution can split a hot anchor.
-    counts = checkpointed(texts.mapInArrow(_anchor_counts(width), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"))
+    counts = checkpointed(texts.mapInArrow(trimmed(_anchor_counts(width)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"))
     shared = counts.select("anchor", F.least(F.ceil(F.col("n") / GROUP_ROWS), F.lit(1 << 20)).cast("int").alias("parts"))
-    runs = texts.mapInArrow(_runs(width), RUNS).join(shared, "anchor")
+    runs = texts.mapInArrow(trimmed(_runs(width)), RUNS).join(shared, "anchor")
     by_doc = runs.groupBy("key").agg(F.collect_list(F.struct("span", "parts", "anchor")).alias("runs"))
     suspects = placed.join(by_doc, "key")  # with the columns of the last join, whose shuffle of the texts is the same one
-    windows = suspects.mapInArrow(_suspects(width), WINDOWS)
-    repeats = windows.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_repeats, REPEATS)
+    windows = suspects.mapInArrow(trimmed(_suspects(width)), WINDOWS)
+    repeats = windows.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(trimmed(_repeats), REPEATS)
     gone = repeats.groupBy("key").agg(F.collect_list("starts").alias("repeats"))
     joined = placed.join(gone, "key", "left").unionByName(packed.where("id is null").withColumns({"key": F.lit(0).cast("long"), "repeats": F.lit(None).cast("array<binary>")}))
     schema = joined.drop("repeats").schema.add("__n", "long").add("__removed", "long").add("__kept", "string")
