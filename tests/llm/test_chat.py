@@ -47,3 +47,10 @@ def test_nulls_ties_long_and_empty(spark):
     assert {c: x[1] for c, x in got.items()} == plain(rows)
     assert hashlib.sha256(got[3][2].encode()).hexdigest() == hashlib.sha256(("long " * 50_000).encode()).hexdigest()
     assert back(spark, []) == {}
+
+
+def test_rows_without_conv_id_are_conversations_of_their_own(spark):
+    rows = [(None, 1, "user", "a"), (None, 0, "user", "b"), (None, 1, "user", "a"), (7, 0, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = format_chats(df).collect()
+    assert sorted((str(r.conv_id), r.formatted) for r in out) == sorted([("None", "<|role:user|>a<|end|>"), ("None", "<|role:user|>b<|end|>"), ("None", "<|role:user|>a<|end|>"), ("7", "<|role:assistant|>c<|end|>")])

@@ -68,3 +68,19 @@ def test_small_graphs_reach_all(n):
     x = np.random.default_rng(n).normal(size=(n, 4))
     points, _ = Graph.build(x, 8, 16).search(x, 64)
     assert all(set(p[p >= 0].tolist()) == set(range(n)) for p in points)
+
+
+def test_share_visited_and_recall(capsys):
+    r = np.random.default_rng(9)
+    x = (r.normal(size=(60, 24))[r.integers(0, 60, 12_000)] + r.normal(size=(12_000, 24)) * 0.7).astype(np.float32)
+    graph = Graph.build(x, 64, 48)
+    queries = x[::100]
+    graph.visits = 0
+    found, _ = graph.search(queries, 112)
+    away = ((queries[:, None, :] - x[None]) ** 2).sum(axis=2)
+    best = np.argsort(away, axis=1)[:, :10]
+    recall = np.mean([len(set(a[:10].tolist()) & set(b.tolist())) for a, b in zip(found, best)]) / 10
+    share = graph.visits / len(queries) / len(x)
+    with capsys.disabled():
+        print(f"\nvisited {share:.1%} of {len(x)} points, recall {recall:.3f}")
+    assert recall >= 0.95 and share < 0.4
