@@ -199,11 +199,11 @@ def running_freq(spark, sf_dir):
     return sketch.running_frequency(chunks(spark, sf_dir)).select("file_id", "pos", "fp", "freq")
 
 
-@query(f"""WITH {CHUNKS}, b AS (SELECT *, pos // 128 AS batch FROM c),
+@query(f"""WITH {CHUNKS}, b AS (SELECT *, pos // 16 AS batch FROM c),
 t AS (SELECT *, count(*) OVER (PARTITION BY fp ORDER BY file_id, batch) AS freq, row_number() OVER (PARTITION BY file_id, batch, fp ORDER BY pos) AS k FROM b)
 SELECT source, CASE WHEN k > 1 THEN 'LOCAL' WHEN freq >= 3 THEN 'TOP' ELSE 'OUTSIDE' END AS tier, count(*) AS n, sum(size)::BIGINT AS bytes FROM t GROUP BY 1, 2""")
 def freq_gate_tiers(spark, sf_dir):
-    batched = chunking.batches(chunks(spark, sf_dir), 128)
+    batched = chunking.batches(chunks(spark, sf_dir), 16)
     return sketch.tiers(batched, 3).groupBy("source", "tier").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
@@ -297,10 +297,17 @@ def frequency_index_replay(spark, sf_dir):
     return rows.groupBy("source", "tier").agg(F.count(F.lit(1)).alias("n"), F.max("freq").alias("most"))
 
 
-@query()
+STREAM = SegmentParams(min_bytes=2048, max_bytes=8192, max_chunks=64, divisor=8, pattern=1)
+STREAM_CUT = f"n >= {STREAM.max_chunks} OR total + o.size > {STREAM.max_bytes} OR total >= {STREAM.min_bytes} AND cut"
+
+
+@query(f"""WITH RECURSIVE {CHUNKS}, o AS (SELECT file_id, pos, size, {BYTE_SUM} % {STREAM.divisor} = {STREAM.pattern} AS cut FROM c),
+r AS (SELECT file_id, pos, size, 0 AS segment, 1 AS n, size::BIGINT AS total FROM o WHERE pos = 0
+UNION ALL SELECT o.file_id, o.pos, o.size, CASE WHEN {STREAM_CUT} THEN segment + 1 ELSE segment END, CASE WHEN {STREAM_CUT} THEN 1 ELSE n + 1 END, CASE WHEN {STREAM_CUT} THEN 0 ELSE total END + o.size
+  FROM r JOIN o ON o.file_id = r.file_id AND o.pos = r.pos + 1)
+SELECT file_id, segment, min(pos) AS first_pos, count(*) AS n_chunks, sum(size)::BIGINT AS bytes FROM r GROUP BY file_id, segment""")
 def segment_chunk_stream(spark, sf_dir):
-    params = SegmentParams(min_bytes=2048, max_bytes=8192, max_chunks=64, divisor=8, pattern=1)
-    cut = chunking.segment(chunks(spark, sf_dir), params)
+    cut = chunking.segment(chunks(spark, sf_dir), STREAM)
     return cut.groupBy("file_id", "segment").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_chunks"), F.sum("size").alias("bytes"))
 
 
@@ -499,10 +506,13 @@ def sync_e2e(spark, sf_dir):
     return sync.restore(_synchronised(spark, sf_dir).target.persisted()).select("file_id", F.sha2("content", 256).alias("content_fp"))
 
 
-@query()
+@query(f"""WITH {CHUNKS}, a AS (SELECT source, substr(fp, 1, 2) AS key, row_number() OVER (PARTITION BY source ORDER BY file_id, pos) AS i FROM c),
+b AS (SELECT *, lag(i) OVER w AS last, coalesce(lead(i) OVER w, 1::BIGINT << 60) AS next FROM a WINDOW w AS (PARTITION BY source, key ORDER BY i)),
+h AS (SELECT b.source, b.i, count(d.i) AS others FROM b LEFT JOIN b d ON d.source IS NOT DISTINCT FROM b.source AND d.i > b.last AND d.i < b.i AND d.next > b.i WHERE b.last IS NOT NULL GROUP BY b.source, b.i)
+SELECT b.source, count(*) AS accesses, count(*) FILTER (others < 32) AS hits FROM b LEFT JOIN h ON h.source IS NOT DISTINCT FROM b.source AND h.i = b.i GROUP BY b.source""")
 def cache_hits(spark, sf_dir):
-    accesses = chunks(spark, sf_dir).withColumn("container", F.floor(F.col("pos") / 16))
-    hit = store.lru_hits(accesses.withColumn("key", F.substring("fp", 1, 2)), "source", "key", ("file_id", "pos"), 32)
+    """A key is at hand if fewer than 32 others were used since it was last; the SQL counts these."""
+    hit = store.lru_hits(chunks(spark, sf_dir).withColumn("key", F.substring("fp", 1, 2)), "source", "key", ("file_id", "pos"), 32)
     return hit.groupBy("source").agg(F.count(F.lit(1)).alias("accesses"), F.sum("hit").alias("hits"))
 
 
