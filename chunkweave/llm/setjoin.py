@@ -7,6 +7,11 @@ eight members or so, so a common word, line or passage is no key and makes no lo
 covers fewer; then members that many sets have are counted first and left out of the keys. Sets that share keys are
 put into families by connected components, and only families get their texts.
 
+A key of few members is shared by chance too, the more often the more sets there are, and long sets would all become one family. So
+sets that share a key with FEW others at most are paired with each, and a pair counts only if the sets' sketches allow it to link:
+members are counted in buckets of a hash, and two sets differ in as many members at least as their counts do. A key that more sets have
+joins them all.
+
 A large family is cut into bands of sizes, each of which links with the bands beside it only, and bands into blocks of text.
 
 Joining. In a family, inverted lists over the members, rarest first, are grouped into blocks by the member's
@@ -19,6 +24,7 @@ scan of the lists if there is none. Both give exact overlaps.
 
 from __future__ import annotations
 
+import functools
 import math
 from bisect import bisect_left
 from collections import defaultdict
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkweave.llm.components import components
-from chunkweave.llm.frames import batches_by_weight, checkpointed, grouped_tables, trimmed
+from chunkweave.llm.frames import batches_by_weight, checkpointed, grouped_tables, released, trimmed
 from chunkweave.llm.words import HALF, mixed, names_of, pair_names, span_names, words_of
 
 #: Bytes of text that a task hashes at a time, and that meet in one task as a block of a family.
@@ -38,6 +44,12 @@ SLICE_BYTES, BLOCK_BYTES = 2_000_000, 3_000_000
 #: Bytes of text whose shingles are counted together.
 COUNT_BYTES = 8_000_000
 RESCUES = 3
+#: Sets with a key that are compared in pairs, buckets of a sketch at least, and members a bucket at most in larger ones.
+FEW, BUCKETS, FILLED = 4, 16, 8
+#: The keys are shuffled in so many turns, each of which frees its disk.
+TURNS = 2
+#: Sets that have a member which is never common.
+SELDOM = 100
 #: More than the blocks of a band of sizes.
 BANDED = 1 << 20
 #: Sets of a family whose overlaps with all others are at hand at a time.
@@ -122,7 +134,35 @@ def part_keys(members: np.ndarray, measure: Measure, classes: list[tuple[int, in
     return np.concatenate(found)
 
 
-SETS = "id long, n long, first_id long, keys array<long>, near array<long>, bytes long"
+def sketch(members: np.ndarray) -> bytes:
+    """Members counted in buckets of a hash, a byte each; as many buckets as the next power of two."""
+    buckets = max(BUCKETS, 1 << (max(len(members), 1) // FILLED).bit_length())
+    place = (mixed(members ^ np.uint64(77)) & np.uint64(buckets - 1)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many members sets with these sketches differ at least. The buckets of the larger sketch are added up to those of the other."""
+    n = min(len(a), len(b))
+    x, y = (np.frombuffer(s, np.uint8).reshape(-1, n).sum(axis=0, dtype=np.int64) for s in (a, b))
+    return int(np.abs(x - y).sum())
+
+
+def _possible(measure: Measure) -> Callable:
+    """The pairs that sizes and sketches allow to link."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("n2").to_numpy()
+            fits = np.flatnonzero(np.maximum(n, m) <= measure.largest(np.minimum(n, m)))
+            most, a, b = measure.differ(n, m), batch.column("sketch"), batch.column("sketch2")
+            found = [i for i in fits.tolist() if least_difference(a[i].as_py(), b[i].as_py()) <= most[i]]
+            yield batch.select(["id", "least"]).take(pa.array(found, pa.int64()))
+
+    return task
+
+
+SETS = "id long, n long, first_id long, keys array<long>, near array<long>, bytes long, sketch binary"
 
 
 def _counted(n: int) -> Callable:
@@ -150,19 +190,20 @@ def _mark(members: np.ndarray) -> bytes:
 
 
 def common_members(texts: DataFrame, n: int, share: float = 0.0005, most: int = 65_536) -> np.ndarray:
-    """Sorted members that more than a share of the sets have, the `most` most frequent of them.
+    """Sorted members that more than a share of the sets have, or more than SELDOM, the `most` most frequent of them.
 
     Which members these are changes the order of the work, never the result.
     """
     counted = texts.select("text").mapInArrow(trimmed(_counted(n)), "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= max(8, int(share * texts.count()))).orderBy(F.desc("n"), "member").limit(most).select("member").toArrow()
+    rows = counted.where(F.col("n") >= min(max(8, int(share * texts.count())), SELDOM)).orderBy(F.desc("n"), "member").limit(most).select("member").toArrow()
     return np.sort(rows["member"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _sets(n: int, measure: Measure, common: np.ndarray | None = None) -> Callable:
-    """Per document its set's size and keys. Of equal sets in one task, the later ones name the first instead.
+    """Per document its set's size, keys and sketch. Of equal sets in one task, the later ones name the first instead.
 
-    A key goes out once a slice: other sets of the slice that have it name its first one as near.
+    Of a key that more than FEW sets of a slice have, only the first sends it, so often that it counts as a key of more than FEW; the others
+    name the first as near.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +211,7 @@ def _sets(n: int, measure: Measure, common: np.ndarray | None = None) -> Callabl
         classes = measure.classes(1000)
         for whole in batches:
             for batch in batches_by_weight(whole, "text", SLICE_BYTES):
-                ids, sizes, first, keys, lengths = batch.column("id").to_pylist(), [], [], [], []
+                ids, sizes, first, keys, lengths, sketches = batch.column("id").to_pylist(), [], [], [], [], []
                 for i, text in zip(ids, batch.column("text").cast(pa.binary())):
                     raw = (text.as_py() or b"").lower()
                     members = shingles(words_of(raw), n)
@@ -181,15 +222,16 @@ def _sets(n: int, measure: Measure, common: np.ndarray | None = None) -> Callabl
                     if len(members) >= classes[-1][0]:
                         classes = measure.classes(2 * len(members))
                     keys.append(part_keys(members, measure, classes, common).view(np.int64) if mark and i is not None and first[-1] == i else np.empty(0, np.int64))
+                    sketches.append(sketch(members) if len(keys[-1]) else None)
                 every, own = np.concatenate([np.empty(0, np.int64), *keys]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                _, at, inverse = np.unique(every, return_index=True, return_inverse=True)
-                fresh = np.zeros(len(every), bool)
-                fresh[at] = True
-                pairs = np.unique(np.stack([own[~fresh], own[at][inverse][~fresh]], axis=1), axis=0)
+                _, at, inverse, shared = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+                hot, head = shared[inverse] > FEW, at[inverse] == np.arange(len(every))
+                times = np.where(hot, np.where(head, FEW + 1, 0), 1)
+                pairs = np.unique(np.stack([own, own[at][inverse]], axis=1)[hot & ~head], axis=0)
                 known = np.array([-1 if i is None else i for i in ids], np.int64)
-                lists = _lists(every[fresh], own[fresh], len(ids))
+                lists = _lists(np.repeat(every, times), np.repeat(own, times), len(ids))
                 near = _lists(known[pairs[:, 1]], pairs[:, 0], len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), lists, near, pa.array(lengths, pa.int64())], names=["id", "n", "first_id", "keys", "near", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), lists, near, pa.array(lengths, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "n", "first_id", "keys", "near", "bytes", "sketch"])
 
     return task
 
@@ -267,6 +309,29 @@ class Family:
                     blocks[member].setdefault(i, []).append(x)
 
 
+def _edges(keyed: DataFrame, measure: Measure) -> DataFrame:
+    """Rows (id, least) of which the connected components hold all linked sets: pairs that share a key and may link, and all sets of a key of more than FEW."""
+    listed = keyed.where("id = first_id").select("id", F.explode("keys").alias("key"))
+    by_key = Window.partitionBy("key").orderBy("id")
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    others = F.when(F.col("k") > FEW, F.array(F.min("id").over(whole))).otherwise(F.array_compact(F.array(*[F.lead("id", i).over(by_key) for i in range(1, FEW)])))
+    turns = []
+    for turn in range(TURNS):
+        shared = listed.where(F.pmod("key", F.lit(TURNS)) == turn).withColumn("k", F.count(F.lit(1)).over(whole)).withColumn("others", others).where("k > 1")
+        pairs = shared.select("id", F.explode("others").alias("least"), (F.col("k") > FEW).alias("many")).where("id != least")
+        turns.append(checkpointed(pairs.groupBy("id", "least").agg(F.max("many").alias("many"))))
+    pairs = functools.reduce(DataFrame.unionByName, turns).groupBy("id", "least").agg(F.max("many").alias("many"))
+    pairs = checkpointed(pairs)
+    marks = keyed.where("id = first_id and sketch is not null").select("id", "n", "sketch")
+    both = pairs.where("not many").join(marks, "id").join(marks.select(F.col("id").alias("least"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "least")
+    possible = both.mapInArrow(trimmed(_possible(measure)), "id long, least long")
+    near = keyed.select("id", F.explode("near").alias("least"))
+    edges = checkpointed(possible.unionByName(pairs.where("many").select("id", "least")).unionByName(near))
+    for done in (*turns, pairs):
+        released(done)
+    return edges
+
+
 LINKS = "id long, root long, links long"
 
 
@@ -331,11 +396,12 @@ def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     measure = Measure(num, den)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     common = common_members(texts, n) if 10 * num < 9 * den else None  # parts are small then, and passages would match
-    sets = checkpointed(texts.mapInArrow(trimmed(_sets(n, measure, common)), SETS))
-    listed = sets.where("id = first_id").select("id", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")  # a key has a row a slice at most, and goes through the shuffle once
-    pairs = listed.withColumn("k", F.count(F.lit(1)).over(by_key)).withColumn("least", F.min("id").over(by_key)).where("k > 1").select("id", "least")
-    families = components(pairs.unionByName(sets.select("id", F.explode("near").alias("least"))), "id", "least")
+    keyed = checkpointed(texts.mapInArrow(trimmed(_sets(n, measure, common)), SETS))
+    sets = checkpointed(keyed.select("id", "n", "first_id", "bytes"))
+    edges = _edges(keyed, measure)
+    families = components(edges, "id", "least")
+    released(keyed)
+    released(edges)
     classes = sets.where("n > 0").groupBy("first_id").agg(F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes"), F.max("n").alias("n"))
     members = families.join(classes, F.col("node") == F.col("first_id")).select(F.col("component").alias("family"), F.col("node").alias("id"), "copies", "bytes", F.floor(F.log("n") / F.lit(measure.band)).cast("int").alias("band"))
     members = checkpointed(members)  # a table of its own, so that adaptive execution can split a hot family below
